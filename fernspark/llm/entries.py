@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernspark.llm import bpe, packing, secrets
+from fernspark.llm import bpe, langid, lshforest, packing, secrets, simhash, urlfilter, warc, webp
+from fernspark.llm.common import written
 from fernspark.tables import table
 
 QUERIES: dict = {}
@@ -18,6 +19,85 @@ def query(f):
     return f
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back from the archives."""
+    stored = written(warc.archives(warc.with_revisits(table(spark, sf_dir, "pages"), least_bytes=100)))
+    return warc.read(stored).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op1_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+     f AS (SELECT payload, min(page_id) AS first FROM p WHERE strlen(payload) >= 100 GROUP BY payload)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload)
+"""
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and group of near-duplicates."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, seed=42)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Fixed values of the contract: host, path and verdict of the listed URLs.
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url; a url that no entry fits isn't listed and so is allowed."""
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules, default="allow")
+
+
+SQL["op3_url_filter"] = f"""
+WITH r(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(str(r) for r in RULES)}),
+u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+m AS (SELECT page_id, host, path, rule_host || rule_path AS rule, rule_verdict FROM p LEFT JOIN r
+      ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1
+"""
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from those whose crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    held = lambda: F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2
+    profiles = langid.learn(docs.where(~held() & F.col("lang").isNotNull()))
+    return langid.identify(docs, profiles).select("doc_id", held().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes as a lossless WebP image, read back."""
+    stored = written(webp.media(table(spark, sf_dir, "documents")))
+    return webp.samples(stored).select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, -64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+@query
+def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector among all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return lshforest.nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(100)) == 0), k=10)
+
+
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
