@@ -1,8 +1,46 @@
-"""The corpus pipeline's stages; completed with the operators that they call."""
+"""The corpus pipeline: language ID, near-duplicates, secrets, packing, each written as Parquet and read again."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fernspark.llm import langid, packing, secrets, simhash
+from fernspark.llm.common import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without (no text, no letter) go. Profiles are learned from the labels among ``docs``."""
+    return langid.keep_identified(docs, langid.learn(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced by their kind; ``n_chars`` follows the text."""
+    return secrets.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens: a row per piece of a document with its place."""
+    pieces = packing.cut(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    packed = packing.pack(pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32"), capacity=4096)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("packing", pack)]
+
+#: None of the stages can be said in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' result over all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

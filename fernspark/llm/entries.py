@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernspark.llm import bpe, langid, lshforest, packing, secrets, simhash, urlfilter, warc, webp
+from fernspark.llm import bpe, langid, lshforest, packing, secrets, simhash, toolcalls, urlfilter, warc, webp
 from fernspark.llm.common import written
 from fernspark.tables import table
 
@@ -120,6 +120,36 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The schema of the tool that plain conversations call.
+REPLY = {
+    "type": "object", "required": ["prompt", "turn"], "additionalProperties": False,
+    "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+}
+
+
+@query
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a call, linked to the assistant's turn that answers it."""
+    calls, results = toolcalls.from_conversations(table(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, {"reply": REPLY})
+
+
+SQL["op9_tool_calls"] = """
+WITH c AS (SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, 'c' || conv_id || '-' || (turn - 2) AS pre, text FROM conversations WHERE role = 'user'),
+     r AS (SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant')
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, CASE WHEN c.call_id IS NOT NULL THEN 'reply' END AS name,
+       c.turn AS turn, r.turn AS result_turn, CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'pending' ELSE 'linked' END AS status,
+       c.turn * 1048576 AS order_key,
+       (CASE WHEN c.turn >= 2 AND NOT EXISTS (SELECT 1 FROM c AS b WHERE b.call_id = c.pre) THEN 1 ELSE 0 END)::BIGINT AS missing_after,
+       CASE WHEN c.call_id IS NOT NULL THEN c.text <> '' END AS valid,
+       CASE WHEN c.call_id IS NOT NULL THEN CASE WHEN c.text <> '' THEN '' ELSE 'arguments.prompt: breaks minLength 1' END END AS errors,
+       '{' || CASE WHEN c.call_id IS NOT NULL THEN '"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},' ELSE '' END
+           || '"id":' || to_json(coalesce(c.call_id, r.call_id)) || CASE WHEN c.call_id IS NOT NULL THEN ',"name":"reply"' ELSE '' END
+           || CASE WHEN r.text IS NOT NULL THEN ',"result":' || to_json(r.text) ELSE '' END || '}' AS json
+FROM c FULL JOIN r ON c.call_id = r.call_id
+"""
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 4096 tokens."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,3 +151,15 @@ def identify(docs: DataFrame, profiles: dict[str, Profile], *, id_col: str = "do
                 )
 
     return src.mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, profiles: dict[str, Profile], *, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text has a predicted language; null, empty and letterless texts go."""
+    sent = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    @F.pandas_udf("boolean")
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield some.map(lambda t: predict(t, sent.value)[0] != UNKNOWN).astype(bool)
+
+    return docs.where(known(F.col(text_col)))

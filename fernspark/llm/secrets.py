@@ -8,8 +8,10 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fernspark.llm.common import slices
 
@@ -194,3 +196,14 @@ def redact(text: str | None) -> str | None:
         else:
             end = max(end, b)
     return "".join(out)
+
+
+def redacted(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The rows with the secrets of ``text_col`` replaced, see :func:`redact`; null texts stay null."""
+
+    @F.pandas_udf("string")
+    def cleaned(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield some.map(redact, na_action="ignore")
+
+    return docs.withColumn(text_col, cleaned(F.col(text_col)))

@@ -199,3 +199,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, seed: int = 42, id_col:
     least = group.groupBy("root").agg(F.min("first").alias("component_id"))
     names = written(group.join(least, "root").select("fp", "component_id"))
     return prints.join(names, "fp").select(id_col, "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, *, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, all columns as they are, of each group of near-duplicates: that with the smallest id.
+
+    Repeats of that id count as one. Rows with a null id can't be named by their group; they stay.
+    """
+    groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), words=words, seed=seed, id_col=id_col, text_col=text_col)
+    firsts = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(firsts, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
