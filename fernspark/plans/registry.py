@@ -2,40 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from fernspark.tables import table
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a query under ``name`` with its oracle, if it has one."""
+def query(sql: str | None = None):
+    """Registers a function under its name with its oracle, if it has one."""
 
     def put(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql:
-            SQL[name] = sql
+            SQL[f.__name__] = sql
         return f
 
     return put
 
 
-@query(
-    "sim_cosine_topk",
-    """
-    WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1)
-    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS score
-    FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10
-    """,
-)
-def sim_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten vectors nearest to the first one by cosine."""
-    e = table(spark, sf_dir, "embeddings")
-    first = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    a, b = F.col("embedding"), F.col("v")
-    score = F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 6)
-    return e.crossJoin(F.broadcast(first)).select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+from fernspark.plans import q_indexing, q_messages, q_retrieval  # noqa: E402, F401  they register themselves

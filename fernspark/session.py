@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +23,21 @@ def local_session(cores: str | None = None, app: str = "fernspark") -> SparkSess
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_own_folder: list[str] = []
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); one of this machine only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="fernspark-"))
+    return _own_folder[0]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{scratch_dir(spark)}/fernspark-{name}-{uuid.uuid4().hex}"
