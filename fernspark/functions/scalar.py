@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from fernspark import schema
 
@@ -134,7 +135,7 @@ def host_kind(url: str | Column) -> Column:
     return F.when(local | host.rlike(r"^(127|10)\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.|^169\.254\."), "local").otherwise("remote")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def lossy_text(data: pd.Series) -> pd.Series:
     """UTF-8 with a replacement character for each malformed part."""
     return data.map(lambda b: b.decode("utf-8", "replace"), na_action="ignore")
