@@ -217,3 +217,34 @@ def embed(model: Any, batch_size: int = 256) -> Stage:
 def sparse_embed(model: Any, batch_size: int = 256) -> Stage:
     """``sparse_vectors`` by the model."""
     return lambda df: _embedded(df, "sparse_vectors", SPARSE, lambda t: [{"indices": i, "values": v} for i, v in model.sparse_embed(t)], batch_size)
+
+
+# --- token counts -----------------------------------------------------------------------------------------------------
+
+
+def counted_tokens(text: str | Column, make: Callable[[], Callable[[str], int]]) -> Column:
+    """Tokens of a text by any counter, which each Python worker makes once; null counts 0. For an estimate in the JVM see ``scalar.token_estimate``."""
+
+    @F.pandas_udf("bigint")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = make()
+        for x in batches:
+            yield x.map(lambda t: 0 if t is None else count(t)).astype("int64")
+
+    return run(scalar.col(text))
+
+
+def rank_file_counter(path: str, pattern: str) -> Callable[[], Callable[[str], int]]:
+    """A counter of byte-pair tokens from a local rank file (base64 token, rank), read on the driver; needs the tiktoken library."""
+    import base64
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+
+    def make() -> Callable[[str], int]:
+        import tiktoken
+
+        enc = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda t: len(enc.encode_ordinary(t))
+
+    return make

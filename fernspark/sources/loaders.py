@@ -241,3 +241,13 @@ class _CrawlReader(DataSourceReader):
 def crawl(spark: SparkSession, url: str, limit: int = 1000) -> DataFrame:
     spark.dataSource.register(Crawl)
     return pages(spark.read.format("crawl").option("url", url).option("limit", str(limit)).load())
+
+
+def list_nodes(df: DataFrame) -> list[dict]:
+    """All nodes without an error, on the driver; for small loads."""
+    return [r.asDict(recursive=True) for r in df.where("error is null").collect()]
+
+
+def iterate(df: DataFrame) -> Iterator[dict]:
+    """Nodes one after another, a partition at a time on the driver."""
+    return (r.asDict(recursive=True) for r in df.toLocalIterator())

@@ -374,3 +374,19 @@ def test_record_stream(spark, tmp_path):
     s = spark.readStream.format("record_log").option("client", "tests_client:make").load()
     assert s.schema.simpleString() == "struct<key:string,value:string,offset:bigint>"
     assert loaders.record_nodes(spark.createDataFrame([(None, "v", 0)], "key string, value string, offset long")).first().metadata == {"fluvio_key": "null"}
+
+
+def test_token_counters(spark):
+    df = few(spark, ("a", "one two three"), ("b", "")).select("path", nodes.counted_tokens("chunk", lambda: lambda t: len(t.split())).alias("n"))
+    assert {r.path: r.n for r in df.collect()} == {"a": 3, "b": 0}
+
+
+def test_rank_file_counter(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    make = nodes.rank_file_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert few(spark, ("a", "hello world")).select(nodes.counted_tokens("chunk", make).alias("n")).first().n == 2
+
+
+def test_lists_of_nodes(spark):
+    df = few(spark)
+    assert [n["chunk"] for n in loaders.list_nodes(df)] == ["one", "two", "one"] and len(list(loaders.iterate(df))) == 4
