@@ -17,7 +17,7 @@ from fernspark.llm.common import slices, written
 #: Pieces that one task packs. A group ends with about one sequence that isn't full, so larger groups waste less.
 GROUP_PIECES = 32768
 #: Words whose ids a Python worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 1_500_000
 MAX_TOKENIZER_BYTES = 64 << 20
 
 _loaded: dict[int, WordIds] = {}
@@ -27,8 +27,8 @@ class WordIds(dict):
     """Ids (little-endian uint32 bytes) by word, for tokenizers that drop white space and handle each word by itself.
 
     Words are what lies between spaces and line feeds. New words go through the whole tokenizer together, joined by
-    spaces; offsets tell which ids are whose. Latin words with a capital, or with one full stop or comma at the end, take the ids
-    of their plain form if the tokenizer folds case and takes such marks apart from letters, which is tried at the start.
+    spaces. If the tokenizer folds case, Latin-1 texts are folded before; if it takes a full stop or comma apart from letters,
+    a Latin word that ends with one takes the ids of both. What a tokenizer does is tried at the start.
     """
 
     def __init__(self, data: bytes):
@@ -38,40 +38,65 @@ class WordIds(dict):
         ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
         if ids("ab cd\nab") != ids("ab") + ids("cd") + ids("ab") or ids(" ") or ids("\n"):
             raise ValueError("this tokenizer doesn't handle words by themselves")
-        self.folds = ids("Été") == ids("été") and ids("AB") == ids("ab")
-        self.parts = all(ids(f"{w}{c}") == ids(w) + ids(c) for w in ("ab", "é") for c in ".,")
-
-    def plain(self, word: str) -> tuple[str, str]:
-        """The form whose ids are looked up, and the mark that follows it."""
-        mark = ""
-        if word.isascii() or max(word) < "ɐ":
-            if self.parts and word[-1] in ".," and word[:-1].isalpha():
-                word, mark = word[:-1], word[-1]
-            if self.folds and word.isalpha():
-                word = word.lower()
-        return word, mark
+        upper = "".join(chr(c) for c in range(0x100) if chr(c).isupper())
+        self.folds = all(ids(c + "x") == ids(c.lower() + "x") for c in upper)
+        self.marks = {c: np.array(ids(c), np.uint32).tobytes() for c in ".,"} if all(ids(f"{w}{c}") == ids(w) + ids(c) for w in ("ab", "é") for c in ".,") else {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def encode(self, words: list[str]) -> None:
+        """Learns words that are letters throughout, so one unit each to the tokenizer; any others if that turns out not to hold."""
+        e = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(e.ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or len(ids) and ends[-1] != len(ids):
+            self.encode_any(words)
+            return
+        data, at = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            self[w] = data[at:end]
+            at = end
+
+    def encode_any(self, words: list[str]) -> None:
+        """Learns any words; offsets tell which ids are whose."""
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        data = np.array(e.ids, np.uint32).tobytes()
+        edges = (4 * np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts)).tolist()
+        for w, a, b in zip(words, edges, edges[1:], strict=False):
+            self[w] = data[a:b]
 
     def learn(self, words: set[str]) -> None:
-        new = {w: self.plain(w) for w in words}
-        todo = sorted({x for pair in new.values() for x in pair if x not in self})
-        if todo:
-            starts = np.cumsum([0] + [len(w) + 1 for w in todo])
-            for k in range(0, len(todo), 5000):
-                some = todo[k : k + 5000]
-                e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-                ids = np.array(e.ids, np.uint32)
-                at = np.array([o[0] for o in e.offsets], np.int64) + starts[k]
-                edges = np.searchsorted(at, starts[k : k + len(some) + 1])
-                for w, a, b in zip(some, edges, edges[1:], strict=False):
-                    self[w] = ids[a:b].tobytes()
-        for w, (base, mark) in new.items():
-            self[w] = self[base] + self[mark]
+        plain, other, marked = set(), [], []
+        for w in words:
+            if w[-1] in self.marks and (w.isascii() or max(w) < "ɐ") and w[:-1].isalpha():
+                marked.append(w)
+                if w[:-1] not in self:
+                    plain.add(w[:-1])
+            elif w.isalpha() and (w.isascii() or max(w) < "ɐ"):
+                plain.add(w)
+            else:
+                other.append(w)
+        for learned, some in ((self.encode, list(plain)), (self.encode_any, other)):
+            for k in range(0, len(some), 2000):
+                learned(some[k : k + 2000])
+        for w in marked:
+            self[w] = self[w[:-1]] + self.marks[w[-1]]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         if len(self) > KEPT_WORDS:
             self.clear()
             self[""] = b""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        words = []
+        for t in texts:
+            if self.folds:
+                try:
+                    t.encode("latin-1")
+                    t = t.lower()
+                except UnicodeEncodeError:
+                    pass
+            words.append(t.replace("\n", " ").split(" "))
         found = [list(map(self.get, w)) for w in words]
         self.learn({w for ws, ids in zip(words, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None})
         return [b"".join(ids) if None not in ids else b"".join([self[w] if x is None else x for w, x in zip(ws, ids, strict=True)]) for ws, ids in zip(words, found, strict=True)]
