@@ -34,7 +34,7 @@ NEIGHBOURS = (
 MOST_SIDE = 1 << 14
 
 #: Bytes of a stream whose codes are looked up at a time.
-CHUNK = 1 << 15
+CHUNK = 1 << 16
 #: Shortest and longest back-reference that the encoder makes.
 LEAST_MATCH, MOST_MATCH = 16, 4096
 
@@ -239,22 +239,29 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
+_NO_BITS = np.zeros(1, np.int32)
+
+
 class Code:
     """Lookup of the next symbol by the next ``bits`` bits of the stream."""
 
-    def __init__(self, lengths: np.ndarray):
+    def __init__(self, lengths: np.ndarray | None, lone: int = 0):
+        if lengths is None:
+            self.bits, self.symbol, self.length = 0, np.array([lone], np.int32), _NO_BITS
+            return
         used = np.flatnonzero(lengths)
         if not len(used):
             raise ValueError("a prefix code without symbols")
         if len(used) == 1:
             self.bits, self.symbol, self.length = 0, used.astype(np.int32), np.zeros(1, np.int32)
         else:
-            if sum(1 << (MOST_CODE_BITS - int(n)) for n in lengths[used]) != 1 << MOST_CODE_BITS:
+            if int((1 << (MOST_CODE_BITS - lengths[used])).sum()) != 1 << MOST_CODE_BITS:
                 raise ValueError("a prefix code that isn't complete")
             self.bits = int(lengths.max())
-            self.symbol, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
-            for s, c in zip(used.tolist(), canonical(lengths)[used].tolist(), strict=True):
-                self.symbol[c :: 1 << lengths[s]], self.length[c :: 1 << lengths[s]] = s, lengths[s]
+            both = np.zeros(1 << self.bits, np.int32)
+            for s, c, n in zip(used.tolist(), canonical(lengths)[used].tolist(), lengths[used].tolist(), strict=True):
+                both[c :: 1 << n] = s << 4 | n
+            self.symbol, self.length = both >> 4, both & 15
 
     def next(self, bits: Bits) -> int:
         if not self.bits:
@@ -283,13 +290,15 @@ class Bits:
 
 
 def read_code(bits: Bits, size: int) -> Code:
-    lengths = np.zeros(max(size, 256), np.int64)
     if bits.read(1):
         two = bits.read(1)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        first = bits.read(8 if bits.read(1) else 1)
+        if not two:
+            return Code(None, first)
+        lengths = np.zeros(256, np.int64)
+        lengths[[first, bits.read(8)]] = 1
         return Code(lengths)
+    lengths = np.zeros(size, np.int64)
     of_lengths = np.zeros(19, np.int64)
     for i in range(4 + bits.read(4)):
         of_lengths[CODE_LENGTH_ORDER[i]] = bits.read(3)
@@ -383,55 +392,85 @@ def read_image(bits: Bits, width: int, height: int, *, main: bool) -> np.ndarray
     return np.array(put, np.uint32).reshape(height, width)
 
 
+#: Symbols that one lookup gives at most.
+AT_ONCE = 4
+
+
+def symbol_table(code: Code, index_bits: int) -> list[int]:
+    """By the next ``index_bits`` bits, the literals that they hold whole: up to four bytes, from bit 32 their number, from bit 36 their bits;
+    0 where the first symbol isn't a literal or doesn't fit."""
+    window = np.arange(1 << index_bits)
+    at, packed, n = np.zeros_like(window), np.zeros_like(window), np.zeros_like(window)
+    alive = np.ones(len(window), bool)
+    for k in range(AT_ONCE):
+        i = window >> at & ((1 << code.bits) - 1)
+        symbol, length = code.symbol[i], code.length[i]
+        alive &= (length <= index_bits - at) & (symbol < 256)
+        packed |= np.where(alive, symbol.astype(np.int64) << 8 * k, 0)
+        at += np.where(alive, length, 0)
+        n += alive
+        if not alive.any():
+            break
+    return np.where(n > 0, packed | n << 32 | at << 36, 0).tolist()
+
+
 def read_grey(bits: Bits, width: int, height: int, group: list[Code]) -> np.ndarray:
-    """An image where only green varies: the codes at all bits of a chunk are looked up at once, then followed from one to the next."""
+    """An image where only green varies: several literals by one lookup, until a back-reference or the end comes near."""
     green, total, at = group[0], width * height, 0
     out = np.zeros(total, np.uint8)
     rest = np.uint32(int(group[3].symbol[0]) << 24 | int(group[1].symbol[0]) << 16 | int(group[2].symbol[0]))
-    data = np.frombuffer(bits.data + b"\0\0\0", np.uint8).astype(np.int32)
     if not green.bits:
         if green.symbol[0] >= 256:
             raise ValueError("a back-reference to outside the image")
         out[:] = green.symbol[0]
         return (out.astype(np.uint32).reshape(height, width) << np.uint32(8)) | rest
-    shift = np.arange(8, dtype=np.int32)
+    index_bits = 10 if total < 1 << 12 else 11 if total < 1 << 13 else 12
+    mask, table = (1 << index_bits) - 1, symbol_table(green, index_bits)
+    data = np.frombuffer(bits.data + b"\0\0\0", np.uint8).astype(np.int32)
+    column = np.arange(AT_ONCE)
+    base, window = 0, []
     while at < total:
+        if not base <= bits.at < base + 8 * len(window):
+            first = bits.at >> 3
+            some = data[first : first + CHUNK + 2]
+            if len(some) < 3:
+                raise ValueError("the image ends early")
+            base, window = first << 3, (some[:-2] | some[1:-1] << 8 | some[2:] << 16).tolist()
+        p = bits.at - base
+        got: list[int] = []
+        steps = min((total - at) // AT_ONCE, (8 * len(window) - p) // index_bits)
+        keep = got.append
+        for _ in range(steps):
+            v = table[window[p >> 3] >> (p & 7) & mask]
+            if not v:  # another kind of symbol
+                break
+            p += v >> 36
+            keep(v)
+        else:
+            steps = 0
+        bits.at = base + p
+        if got:
+            v = np.array(got, np.int64)
+            literals = v.astype(np.uint32).view(np.uint8).reshape(-1, AT_ONCE)[column < (v >> 32 & 15)[:, None]]
+            out[at : at + len(literals)] = literals
+            at += len(literals)
+            if total - at >= AT_ONCE and not steps:
+                continue
+        if at >= total:
+            break
         if bits.at >= bits.end:
             raise ValueError("the image ends early")
-        first = bits.at >> 3
-        some = data[first : first + CHUNK + 2]
-        window = some[:-2] | some[1:-1] << 8 | some[2:] << 16
-        window = (window[:, None] >> shift & ((1 << green.bits) - 1)).ravel()
-        symbol = green.symbol[window]
-        step = np.arange(len(window), dtype=np.int32) + green.length[window]
-        step[symbol >= 256] = -1
-        follow, base = step.tolist(), first << 3
-        p, end = bits.at - base, len(follow)
-        while at < total and p < end:
-            places, room = [], total - at
-            keep = places.append
-            while p < end:
-                q = follow[p]
-                if q < 0 or room == 0:
-                    break
-                keep(p)
-                room -= 1
-                p = q
-            out[at : at + len(places)] = symbol[places]
-            at += len(places)
-            if at < total and p < end:
-                bits.at = base + p
-                n = read_value(bits, green.next(bits) - 256)
-                d = distance(read_value(bits, group[4].next(bits)), width)
-                if d > at or at + n > total:
-                    raise ValueError("a back-reference to outside the image")
-                if d >= n:
-                    out[at : at + n] = out[at - d : at - d + n]
-                else:
-                    out[at : at + n] = np.resize(out[at - d : at], n)
-                at += n
-                p = bits.at - base
-        bits.at = base + p
+        s = green.next(bits)
+        if s < 256:
+            out[at] = s
+            at += 1
+            continue
+        n = read_value(bits, s - 256)
+        d = distance(read_value(bits, group[4].next(bits)), width)
+        if d > at or at + n > total:
+            raise ValueError("a back-reference to outside the image")
+        out[at : at + n] = out[at - d : at - d + n] if d >= n else np.resize(out[at - d : at], n)
+        at += n
     if bits.at > bits.end:
         raise ValueError("the image ends early")
     return (out.astype(np.uint32).reshape(height, width) << np.uint32(8)) | rest
@@ -480,33 +519,39 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class Writer:
-    """Collects values with their numbers of bits, the lowest bit first."""
+    """Collects bits, the lowest of a value first."""
 
     def __init__(self) -> None:
-        self.values: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.few: list[tuple[int, int]] = []
+        self.parts: list[np.ndarray] = []
+        self.few, self.held = 0, 0  # bits not yet in parts, and their number
 
     def put(self, value: int, n: int) -> None:
-        self.few.append((value, n))
+        self.few |= value << self.held
+        self.held += n
+
+    def put_bits(self, bits: np.ndarray) -> None:
+        if self.held:
+            raw = np.frombuffer(self.few.to_bytes((self.held + 7) // 8, "little"), np.uint8)
+            self.parts.append(np.unpackbits(raw, count=self.held, bitorder="little"))
+            self.few = self.held = 0
+        self.parts.append(bits)
 
     def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        if self.few:
-            both = np.array(self.few, np.int64)
-            self.values.append(both[:, 0]), self.sizes.append(both[:, 1])
-            self.few = []
-        self.values.append(values), self.sizes.append(sizes)
+        """Values of their own numbers of bits, in order."""
+        place = np.arange(max(int(sizes.max(initial=0)), 1))
+        self.put_bits((values[:, None] >> place & 1).astype(np.uint8)[place < sizes[:, None]])
+
+    def put_symbols(self, symbols: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
+        """Codes of symbols; their bits are taken from a table of all symbols."""
+        place = np.arange(max(int(sizes.max(initial=0)), 1))
+        bits, has = (codes[:, None] >> place & 1).astype(np.uint8), place < sizes[:, None]
+        for i in range(0, len(symbols), 1 << 20):
+            some = symbols[i : i + (1 << 20)]
+            self.put_bits(bits[some][has[some]])
 
     def bytes(self) -> bytes:
-        self.put_all(np.empty(0, np.int64), np.empty(0, np.int64))
-        value, size = np.concatenate(self.values), np.concatenate(self.sizes)
-        end = np.cumsum(size)
-        start = end - size
-        out = np.zeros(int(end[-1]), np.uint8)
-        for b in range(int(size.max())):
-            has = size > b
-            out[start[has] + b] = value[has] >> b & 1
-        return np.packbits(out, bitorder="little").tobytes()
+        self.put_bits(np.empty(0, np.uint8))
+        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
 
 
 def write_code(w: Writer, lengths: np.ndarray) -> None:
@@ -552,11 +597,19 @@ def matches(x: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(x) - LEAST_MATCH + 1
     if n < 2:
         return []
-    key = np.zeros(n, np.uint64)
-    for i in range(LEAST_MATCH):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + x[i : i + n].astype(np.uint64) + np.uint64(1)
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
+    if x.dtype == np.uint8:
+        eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, 8)).view("<u8")[:, 0]
+        key = eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
+        key = key * np.uint64(0x9E3779B97F4A7C15)
+    else:
+        key = np.zeros(n, np.uint64)
+        for i in range(LEAST_MATCH):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + x[i : i + n].astype(np.uint64) + np.uint64(1)
+    # Sorted by the hash's upper bits, then by place, so that neighbours with one hash are a place and the one before.
+    low = max(1, n.bit_length())
+    mixed = np.sort(key >> np.uint64(low) << np.uint64(low) | np.arange(n, dtype=np.uint64))
+    order = (mixed & np.uint64((1 << low) - 1)).astype(np.int64)
+    same = mixed[1:] >> np.uint64(low) == mixed[:-1] >> np.uint64(low)
     before = np.full(n, -1, np.int64)
     before[order[1:][same]] = order[:-1][same]
     places = np.flatnonzero(before >= 0)
@@ -569,8 +622,15 @@ def matches(x: np.ndarray) -> list[tuple[int, int, int]]:
         p = int(places[k])
         b = int(before[p])
         most = min(MOST_MATCH, len(x) - p)
-        differ = np.flatnonzero(x[p : p + most] != x[b : b + most])
-        size = int(differ[0]) if len(differ) else most
+        size = 0
+        while size < most:  # most matches are short
+            step = min(64 if size < 64 else most, most - size)
+            differ = x[p + size : p + size + step] != x[b + size : b + size + step]
+            k_first = int(differ.argmax())
+            if differ[k_first]:
+                size += k_first
+                break
+            size += step
         if size >= LEAST_MATCH:
             out.append((p, size, p - b))
             at = p + size
@@ -578,6 +638,32 @@ def matches(x: np.ndarray) -> list[tuple[int, int, int]]:
             at = p + 1
 
 
+def write_grey(w: Writer, green: np.ndarray, rest: int, references: bool) -> None:
+    """The codes and data of an image where only green varies."""
+    found = matches(green) if references else []
+    split = [(p, n, split_value(n), split_value(d + len(NEIGHBOURS))) for p, n, d in found]
+    starts, ends = [0, *[p + n for p, n, _, _ in split]], [*[p for p, _, _, _ in split], len(green)]
+    runs = [green[a:b] for a, b in zip(starts, ends, strict=True)]
+    counts = np.zeros(256 + LENGTH_CODES, np.int64)
+    counts[:256] = np.bincount(np.concatenate(runs), minlength=256)
+    far = np.zeros(DISTANCE_CODES, np.int64)
+    for _, _, n, d in split:
+        counts[256 + n[0]] += 1
+        far[d[0]] += 1
+    sizes, far_sizes = code_lengths(counts), code_lengths(far)
+    write_code(w, sizes)
+    for shift in (16, 0, 24):
+        w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(rest >> shift & 255, 8)
+    write_code(w, far_sizes)
+    codes, far_codes = canonical(sizes), canonical(far_sizes)
+    sizes, far_sizes = (x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in (sizes, far_sizes))
+    w.put_symbols(runs[0], codes[:256], sizes[:256])
+    for run, (_, _, (ns, nn, nv), (ds, dn, dv)) in zip(runs[1:], split, strict=True):
+        w.put(int(codes[256 + ns]), int(sizes[256 + ns])), w.put(nv, nn), w.put(int(far_codes[ds]), int(far_sizes[ds])), w.put(dv, dn)
+        if len(run):
+            w.put_symbols(run, codes[:256], sizes[:256])
+
+
 def write_image(w: Writer, argb: np.ndarray, *, main: bool, cache_bits: int = 0, references: bool = False, group_bits: int = 0, groups: np.ndarray | None = None) -> None:
     """An entropy-coded image. ``groups``: by tile of 2^``group_bits`` pixels the group of codes to use; only for the main image."""
     flat = argb.ravel().astype(np.uint32)
@@ -590,6 +676,10 @@ def write_image(w: Writer, argb: np.ndarray, *, main: bool, cache_bits: int = 0,
         if groups is not None:
             w.put(group_bits - 2, 3)
             write_image(w, groups.astype(np.uint32) << np.uint32(8), main=False)
+    rest = flat & np.uint32(0xFFFF00FF)
+    if not cache_bits and groups is None and (rest == rest[0]).all():
+        write_grey(w, (flat >> np.uint32(8)).astype(np.uint8), int(rest[0]), references)
+        return
     found = matches(flat) if references else []
     copied = np.zeros(len(flat), bool)
     for p, n, _ in found:
@@ -743,9 +833,13 @@ def images(data: bytes) -> Iterator[np.ndarray]:
 
 
 def features(samples: np.ndarray, shape: tuple[int, int]) -> str:
-    """Size, mean, standard deviation and the mean of each of 16 bands of the samples, from the pixel array."""
-    bands = [int(round(float(b.mean()))) if len(b) else 0 for b in np.array_split(samples, 16)]
-    return f"{shape[1]}x{shape[0]};{samples.mean():.4f};{samples.std():.4f};" + bytes(bands).hex()
+    """Size, mean, standard deviation and the mean of each of 16 equal bands of the samples, from the pixel array; their number is a multiple of 16."""
+    count = np.bincount(samples, minlength=256)
+    value, n = np.arange(256), len(samples)
+    mean = float(count @ value) / n
+    deviation = (float(count @ (value * value)) / n - mean * mean) ** 0.5 if count.max() < n else 0.0
+    bands = samples.reshape(16, -1).sum(axis=1, dtype=np.int64) / (n // 16)
+    return f"{shape[1]}x{shape[0]};{mean:.4f};{deviation:.4f};" + bytes(np.rint(bands).astype(np.uint8)).hex()
 
 
 def media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
