@@ -125,10 +125,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     ``conv_id, call_id, name, turn, result_turn, status, order_key, missing_after, valid, errors, json``.
 
     * status: ``linked`` (the first result by turn, then content), ``early`` (that result isn't after the call), ``pending`` (no result), ``duplicate`` (an earlier call has the
-      identifier; the first by place, then conversation, name and arguments is the one; exact repeats of it are duplicates nowhere and link alike), ``orphan`` (results without a call), ``unnamed`` (a null identifier).
+      identifier; the first by place, then conversation, name and a digest of the arguments is the one; exact repeats of it are duplicates nowhere and link alike), ``orphan`` (results without a call), ``unnamed`` (a null identifier).
     * order_key: smaller for a call than for any that needs it. Where every call needs only earlier ones this is the call's place,
       ``turn * 2^20 + index``; conversations where a call needs a later one are sorted by levels, and calls in or behind a cycle have null.
-      ``missing_after`` counts needed calls that don't exist.
+      ``missing_after`` counts what calls of this identifier need that doesn't exist.
     * valid, errors: arguments that aren't a JSON object, a tool without a schema and each broken keyword are named, joined by '; '; valid is their absence.
     * json: an object of arguments, id, name and result with sorted keys and no blanks, null members left out; arguments that don't parse are left out too.
 
@@ -138,7 +138,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     if sum(len(json.dumps(s)) for s in schemas.values()) > 100 * MOST_CHECKS:
         raise ValueError("too many schemas for one expression")
     calls = calls.select(*[F.col(c.split()[0]) for c in CALL.split(", ")]).withColumn("place", F.col("turn") * PLACES + F.col("index"))
-    who = F.struct("place", "conv_id", "name", "arguments")
+    who = F.struct("place", "conv_id", "name", F.md5("arguments").alias("arguments"))
     ids = (
         calls.where("call_id is not null").select("call_id", who.alias("first"), F.lit(None).cast("struct<turn:bigint,content:string,conv_id:bigint>").alias("result"))
         .unionByName(results.where("call_id is not null").select("call_id", F.struct("turn", "content", "conv_id").alias("result")), allowMissingColumns=True)
@@ -147,10 +147,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     edges = calls.where("call_id is not null and size(after) > 0").select("conv_id", "call_id", "place", F.explode(F.array_distinct("after")).alias("pre")).distinct()
     known = ids.where("first is not null").select(F.col("call_id").alias("pre"), F.col("first.place").alias("pre_place"))
     edges = written(edges.join(known, "pre", "left"))
-    missing = edges.groupBy("call_id", "place", "conv_id").agg(F.count_if(F.col("pre_place").isNull()).alias("missing_after"))
+    missing = edges.where("pre_place is null").groupBy("call_id").agg(F.size(F.collect_set("pre")).alias("missing_after"))
     tangled = edges.where("pre_place >= place").select("conv_id").distinct()
 
-    keyed = calls.join(ids.hint("shuffle_hash"), "call_id", "left").join(missing, ["call_id", "place", "conv_id"], "left")
+    keyed = calls.join(ids.hint("shuffle_hash"), "call_id", "left").join(missing, "call_id", "left")
     if tangled.isEmpty():
         keyed = keyed.withColumn("order_key", F.col("place"))
     else:
