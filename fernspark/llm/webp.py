@@ -298,26 +298,46 @@ def read_code(bits: Bits, size: int) -> Code:
         lengths = np.zeros(256, np.int64)
         lengths[[first, bits.read(8)]] = 1
         return Code(lengths)
-    lengths = np.zeros(size, np.int64)
+    # What follows takes at most 14 bits for each symbol; it is read from one number that is shifted on.
+    byte = bits.at >> 3
+    x = int.from_bytes(bits.data[byte : byte + 2 * size + 64], "little") >> (bits.at & 7)
+    used = 4
+    shown = 4 + (x & 15)
+    x >>= 4
     of_lengths = np.zeros(19, np.int64)
-    for i in range(4 + bits.read(4)):
-        of_lengths[CODE_LENGTH_ORDER[i]] = bits.read(3)
-    left = size
-    if bits.read(1):
-        left = 2 + bits.read(2 + 2 * bits.read(3))
-    code, at, last = Code(of_lengths), 0, 8
-    while at < size and left:
+    for i in range(shown):
+        of_lengths[CODE_LENGTH_ORDER[i]] = x & 7
+        x >>= 3
+    used += 3 * shown + 1
+    limited, left = x & 1, size
+    x >>= 1
+    if limited:
+        n = 2 + 2 * (x & 7)
+        x >>= 3
+        left = 2 + (x & ((1 << n) - 1))
+        x >>= n
+        used += 3 + n
+    code = Code(of_lengths)
+    steps, mask = list(zip(code.symbol.tolist(), code.length.tolist(), strict=True)), (1 << code.bits) - 1
+    found, last = [], 8
+    while len(found) < size and left:
         left -= 1
-        s = code.next(bits)
+        s, n = steps[x & mask]
+        x >>= n
+        used += n
         if s < 16:
-            lengths[at] = s
-            at, last = at + 1, s or last
+            found.append(s)
+            last = s or last
         else:
-            n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-            if at + n > size:
-                raise ValueError("too many code lengths")
-            lengths[at : at + n] = last if s == 16 else 0
-            at += n
+            least, n = ((3, 2), (3, 3), (11, 7))[s - 16]
+            found += [last if s == 16 else 0] * (least + (x & ((1 << n) - 1)))
+            x >>= n
+            used += n
+    bits.at += used
+    if len(found) > size or bits.at > bits.end:
+        raise ValueError("wrong code lengths")
+    lengths = np.zeros(size, np.int64)
+    lengths[: len(found)] = found
     return Code(lengths)
 
 
@@ -400,18 +420,19 @@ def symbol_table(code: Code, index_bits: int) -> list[int]:
     """By the next ``index_bits`` bits, the literals that they hold whole: up to four bytes, from bit 32 their number, from bit 36 their bits;
     0 where the first symbol isn't a literal or doesn't fit."""
     window = np.arange(1 << index_bits)
+    both, mask = code.symbol.astype(np.int64) << 4 | code.length, (1 << code.bits) - 1
     at, packed, n = np.zeros_like(window), np.zeros_like(window), np.zeros_like(window)
-    alive = np.ones(len(window), bool)
+    alive = np.ones(len(window), np.int64)
     for k in range(AT_ONCE):
-        i = window >> at & ((1 << code.bits) - 1)
-        symbol, length = code.symbol[i], code.length[i]
-        alive &= (length <= index_bits - at) & (symbol < 256)
-        packed |= np.where(alive, symbol.astype(np.int64) << 8 * k, 0)
-        at += np.where(alive, length, 0)
+        x = both[window >> at & mask]
+        length = x & 15
+        alive &= (length <= index_bits - at) & (x < 256 << 4)
+        packed |= (x >> 4) * alive << 8 * k
+        at += length * alive
         n += alive
         if not alive.any():
             break
-    return np.where(n > 0, packed | n << 32 | at << 36, 0).tolist()
+    return ((packed | n << 32 | at << 36) * (n > 0)).tolist()
 
 
 def read_grey(bits: Bits, width: int, height: int, group: list[Code]) -> np.ndarray:
