@@ -37,6 +37,8 @@ MOST_SIDE = 1 << 14
 CHUNK = 1 << 16
 #: Shortest and longest back-reference that the encoder makes.
 LEAST_MATCH, MOST_MATCH = 16, 4096
+#: The greatest distance that the distance symbols reach; the neighbours' codes come before it.
+FARTHEST = (1 << 20) - len(NEIGHBOURS)
 
 
 # --- pixels -----------------------------------------------------------------------------------------------------------
@@ -614,7 +616,7 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
 
 
 def matches(x: np.ndarray) -> list[tuple[int, int, int]]:
-    """Back-references (place, length, distance) of at least ``LEAST_MATCH`` pixels: each place's candidate is the last one before it with equal ``LEAST_MATCH`` pixels."""
+    """Back-references (place, length, distance) of at least ``LEAST_MATCH`` pixels: each place's candidate is the last one before it with equal ``LEAST_MATCH`` pixels, if it is within ``FARTHEST``."""
     n = len(x) - LEAST_MATCH + 1
     if n < 2:
         return []
@@ -634,6 +636,8 @@ def matches(x: np.ndarray) -> list[tuple[int, int, int]]:
     before = np.full(n, -1, np.int64)
     before[order[1:][same]] = order[:-1][same]
     places = np.flatnonzero(before >= 0)
+    if n > FARTHEST:
+        places = places[places - before[places] <= FARTHEST]
     out, at = [], 0
     k = 0
     while True:

@@ -137,6 +137,20 @@ def test_webp_of_bytes(spark):
     assert (p.width, p.height, len(p.pixels)) == (64, 1, 256)
 
 
+def test_webp_of_far_repeats():
+    line, rng = b"A line of boilerplate that comes again.\n", np.random.default_rng(2)
+    payload = line + bytes(rng.integers(32, 127, 2_000_000, dtype=np.uint8)) + line
+    payload += bytes(-len(payload) % 64)
+    assert b"".join(webp.channels(x)[..., 1].tobytes() for x in webp.images(webp.store(payload)))[: len(payload)] == payload
+    for d in (webp.FARTHEST, webp.FARTHEST + 1):  # the last distance that a symbol reaches, and the first beyond it
+        x = rng.integers(0, 256, d + 16, dtype=np.uint8)
+        x[d:] = x[:16]
+        assert [m for m in webp.matches(x) if m[2] == d] == ([(d, 16, d)] if d == webp.FARTHEST else [])
+    coloured = rng.integers(0, 1 << 32, (1100, 1024), dtype=np.uint64).astype(np.uint32)
+    coloured[-1] = coloured[0]
+    assert (webp.decode(webp.encode(coloured)) == coloured).all()
+
+
 def test_neighbours(spark):
     e = {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()}
     ids = np.array(sorted(e))
