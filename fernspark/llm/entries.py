@@ -131,7 +131,7 @@ REPLY = {
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn as a call, linked to the assistant's turn that answers it."""
     calls, results = toolcalls.from_conversations(table(spark, sf_dir, "conversations"))
-    return toolcalls.link(calls, results, {"reply": REPLY})
+    return toolcalls.link(calls, results, {"reply": REPLY}, extras=True)
 
 
 SQL["op9_tool_calls"] = """

@@ -118,45 +118,67 @@ def topological(edges: DataFrame, calls: DataFrame) -> DataFrame:
         done = written(done.unionByName(new))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def _keyed(df: DataFrame) -> DataFrame:
+    """With ``key``, the conversation and identifier of a row; null where the identifier is."""
+    return df.withColumn("key", F.when(F.col("call_id").isNotNull(), F.struct("conv_id", "call_id")))
+
+
+def further(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """``key, conv_id, call_id, turn, content, status`` of every result but the first of its conversation and identifier, copies too: ``extra`` where a call has them, else ``orphan``.
+
+    Both tables have ``key``. Only identifiers with several results are looked at again; equal results are counted, not gathered.
+    """
+    keys = calls.select("key", F.lit(0).alias("n"), F.lit(True).alias("called")).unionByName(results.select("key", F.lit(1).alias("n"), F.lit(False).alias("called")))
+    again = written(keys.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.max("called").alias("called")).where("n > 1").select("key", "called"))
+    each = results.join(again, "key").groupBy("key", "called", "turn", "content").agg(F.count("*").alias("n"))
+    first = each.groupBy("key").agg(F.min(F.struct("turn", "content")).alias("first"))
+    left = each.join(first, "key").withColumn("n", F.col("n") - F.struct("turn", "content").eqNullSafe(F.col("first")).cast("long")).where("n > 0")
+    return left.select("key", "key.conv_id", "key.call_id", "turn", "content", F.when(F.col("called"), "extra").otherwise("orphan").alias("status"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).drop("copy")
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, extras: bool = False) -> DataFrame:
     """Every call with its result, its place in a topological order, what its arguments break, and canonical JSON.
 
-    ``calls`` and ``results`` have the columns of ``CALL`` and ``RESULT`` (others aren't read). Returns a row per call, and one per identifier that only results have:
+    ``calls`` and ``results`` have the columns of ``CALL`` and ``RESULT`` (others aren't read). An identifier counts within its conversation; a null
+    conversation is one too. Returns a row per call, one per result without a call and, with ``extras``, one per further result of a call:
     ``conv_id, call_id, name, turn, result_turn, status, order_key, missing_after, valid, errors, json``.
 
-    * status: ``linked`` (the first result by turn, then content), ``early`` (that result isn't after the call), ``pending`` (no result), ``duplicate`` (an earlier call has the
-      identifier; the first by place, then conversation, name and a digest of the arguments is the one; exact repeats of it are duplicates nowhere and link alike), ``orphan`` (results without a call), ``unnamed`` (a null identifier).
+    * status: ``linked`` (the first result by turn, then content), ``early`` (that result isn't after the call), ``pending`` (no result), ``duplicate`` (an earlier call of the conversation has the
+      identifier; the first by place, then name and a digest of the arguments is the one; exact repeats of it are duplicates nowhere and link alike), ``extra`` (a result of a call that has
+      an earlier one), ``orphan`` (a result without a call), ``unnamed`` (a null identifier).
     * order_key: smaller for a call than for any that needs it. Where every call needs only earlier ones this is the call's place,
       ``turn * 2^20 + index``; conversations where a call needs a later one are sorted by levels, and calls in or behind a cycle have null.
       ``missing_after`` counts what calls of this identifier need that doesn't exist.
     * valid, errors: arguments that aren't a JSON object, a tool without a schema and each broken keyword are named, joined by '; '; valid is their absence.
     * json: an object of arguments, id, name and result with sorted keys and no blanks, null members left out; arguments that don't parse are left out too.
 
-    Identifiers are reduced to one row each, with partial aggregation, before the hash join, so copies don't multiply; the calls' side of a crowded
+    Conversations' identifiers are reduced to one row each, with partial aggregation, before the hash join, so copies don't multiply; the calls' side of a crowded
     identifier is split by the join's skew handling. Empty tables give an empty table.
     """
     if sum(len(json.dumps(s)) for s in schemas.values()) > 100 * MOST_CHECKS:
         raise ValueError("too many schemas for one expression")
-    calls = calls.select(*[F.col(c.split()[0]) for c in CALL.split(", ")]).withColumn("place", F.col("turn") * PLACES + F.col("index"))
-    who = F.struct("place", "conv_id", "name", F.md5("arguments").alias("arguments"))
+    calls = _keyed(calls.select(*[F.col(c.split()[0]) for c in CALL.split(", ")]).withColumn("place", F.col("turn") * PLACES + F.col("index")))
+    results = _keyed(results.select(*[F.col(c.split()[0]) for c in RESULT.split(", ")]))
+    who = F.struct("place", "name", F.md5("arguments").alias("arguments"))
     ids = (
-        calls.where("call_id is not null").select("call_id", who.alias("first"), F.lit(None).cast("struct<turn:bigint,content:string,conv_id:bigint>").alias("result"))
-        .unionByName(results.where("call_id is not null").select("call_id", F.struct("turn", "content", "conv_id").alias("result")), allowMissingColumns=True)
-        .groupBy("call_id").agg(F.min("first").alias("first"), F.min("result").alias("result"))
+        calls.where("key is not null").select("key", who.alias("first"), F.lit(None).cast("struct<turn:bigint,content:string>").alias("result"))
+        .unionByName(results.where("key is not null").select("key", F.struct("turn", "content").alias("result")), allowMissingColumns=True)
+        .groupBy("key").agg(F.min("first").alias("first"), F.min("result").alias("result"))
     )
-    edges = calls.where("call_id is not null and size(after) > 0").select("conv_id", "call_id", "place", F.explode(F.array_distinct("after")).alias("pre")).distinct()
-    known = ids.where("first is not null").select(F.col("call_id").alias("pre"), F.col("first.place").alias("pre_place"))
+    edges = calls.where("key is not null and size(after) > 0").select("conv_id", "key", "place", F.explode(F.array_distinct("after")).alias("pre"))
+    edges = edges.withColumn("pre", F.struct("conv_id", F.col("pre").alias("call_id"))).distinct()
+    known = ids.where("first is not null").select(F.col("key").alias("pre"), F.col("first.place").alias("pre_place"))
     edges = written(edges.join(known, "pre", "left"))
-    missing = edges.where("pre_place is null").groupBy("call_id").agg(F.size(F.collect_set("pre")).alias("missing_after"))
-    tangled = edges.where("pre_place >= place").select("conv_id").distinct()
+    missing = edges.where("pre_place is null").groupBy("key").agg(F.size(F.collect_set("pre")).alias("missing_after"))
+    tangled = edges.where("pre_place >= place").select(F.struct("conv_id").alias("conv")).distinct()
 
-    keyed = calls.join(ids.hint("shuffle_hash"), "call_id", "left").join(missing, "call_id", "left")
+    keyed = calls.join(ids.hint("shuffle_hash"), "key", "left").join(missing, "key", "left")
     if tangled.isEmpty():
         keyed = keyed.withColumn("order_key", F.col("place"))
     else:
-        inner = calls.where("call_id is not null").join(tangled, "conv_id", "left_semi").select("call_id").distinct()
-        levels = topological(edges.where("pre_place is not null").select("call_id", "pre").distinct().join(inner, "call_id", "left_semi").join(inner.select(F.col("call_id").alias("pre")), "pre", "left_semi"), inner)
-        keyed = keyed.join(levels.withColumn("by_level", F.lit(True)), "call_id", "left").withColumn("order_key", F.when(F.col("by_level"), F.col("level")).otherwise(F.col("place")))
+        inner = calls.where("key is not null").withColumn("conv", F.struct("conv_id")).join(tangled, "conv", "left_semi").select(F.col("key").alias("call_id")).distinct()
+        levels = topological(edges.where("pre_place is not null").select(F.col("key").alias("call_id"), "pre").distinct().join(inner, "call_id", "left_semi"), inner)
+        keyed = keyed.join(levels.select(F.col("call_id").alias("key"), "level", F.lit(True).alias("by_level")), "key", "left").withColumn("order_key", F.when(F.col("by_level"), F.col("level")).otherwise(F.col("place")))
 
     v = F.col("v")
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
@@ -175,7 +197,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         (F.col("errors") == "").alias("valid"), "errors",
         F.to_json(F.struct(v.alias("arguments"), F.col("call_id").alias("id"), "name", F.when(own, gets["content"]).alias("result"))).alias("json"),
     )
-    lone = ids.where("first is null").select("call_id", F.col("result.turn").alias("turn"), F.col("result.content").alias("content"), F.col("result.conv_id").alias("conv_id"), F.lit("orphan").alias("status"))
+    lone = ids.where("first is null").select("key.call_id", F.col("result.turn").alias("turn"), F.col("result.content").alias("content"), "key.conv_id", F.lit("orphan").alias("status"))
+    spare = further(calls, results).drop("key")
+    lone = lone.unionByName(spare if extras else spare.where("status = 'orphan'"))
     lone = lone.unionByName(results.where("call_id is null").select("call_id", "turn", "content", "conv_id", F.lit("unnamed").alias("status")))
     null = lambda kind: F.lit(None).cast(kind)
     rest = lone.select(

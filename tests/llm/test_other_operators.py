@@ -240,6 +240,19 @@ def test_tool_calls_in_json(spark):
     assert got[None].status == "unnamed" and set(got) == {"k1", "c1-0", None}
 
 
+def test_tool_calls_with_repeated_identifiers(spark):
+    calls = [(c, 0, 0, "call_1", "t", "{}", []) for c in (1, 2, 3, None)] + [(2, 4, 0, "call_2", "t", "{}", ["call_1", "call_9"])]
+    results = [(1, 1, "call_1", "r1"), (2, 1, "call_1", "r2"), (2, 2, "call_1", "again"), (2, 2, "call_1", "again"), (2, 1, "call_1", "r2"), (None, 3, "call_1", "r0"), (4, 1, "call_1", "lost"), (4, 2, "call_1", "lost too"), (5, 1, "call_1", "lost")]
+    tables = spark.createDataFrame(calls, toolcalls.CALL), spark.createDataFrame(results, toolcalls.RESULT)
+    got = sorted(((r.conv_id or 0, r.call_id, r.status, r.result_turn or 0, json.loads(r.json).get("result", ""), r.missing_after) for r in toolcalls.link(*tables, {"t": {}}, extras=True).collect()))
+    assert got == sorted([
+        (1, "call_1", "linked", 1, "r1", 0), (2, "call_1", "linked", 1, "r2", 0), (3, "call_1", "pending", 0, "", 0), (0, "call_1", "linked", 3, "r0", 0), (2, "call_2", "pending", 0, "", 1),
+        (2, "call_1", "extra", 1, "r2", 0), (2, "call_1", "extra", 2, "again", 0), (2, "call_1", "extra", 2, "again", 0),
+        (4, "call_1", "orphan", 1, "lost", 0), (4, "call_1", "orphan", 2, "lost too", 0), (5, "call_1", "orphan", 1, "lost", 0),
+    ])
+    assert sorted(r.status for r in toolcalls.link(*tables, {"t": {}}).collect()) == sorted(s for _, _, s, *_ in got if s != "extra")
+
+
 def test_native_plan(spark, sf):
     plan = entries.op9_tool_calls(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
