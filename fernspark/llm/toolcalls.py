@@ -148,7 +148,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, extr
       an earlier one), ``orphan`` (a result without a call), ``unnamed`` (a null identifier).
     * order_key: smaller for a call than for any that needs it. Where every call needs only earlier ones this is the call's place,
       ``turn * 2^20 + index``; conversations where a call needs a later one are sorted by levels, and calls in or behind a cycle have null.
-      ``missing_after`` counts what calls of this identifier need that doesn't exist.
+      ``missing_after`` counts what this call needs that its conversation doesn't have.
     * valid, errors: arguments that aren't a JSON object, a tool without a schema and each broken keyword are named, joined by '; '; valid is their absence.
     * json: an object of arguments, id, name and result with sorted keys and no blanks, null members left out; arguments that don't parse are left out too.
 
@@ -157,7 +157,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, extr
     """
     if sum(len(json.dumps(s)) for s in schemas.values()) > 100 * MOST_CHECKS:
         raise ValueError("too many schemas for one expression")
-    calls = _keyed(calls.select(*[F.col(c.split()[0]) for c in CALL.split(", ")]).withColumn("place", F.col("turn") * PLACES + F.col("index")))
+    calls = _keyed(calls.select(*[F.col(c.split()[0]) for c in CALL.split(", ")]).withColumn("place", F.col("turn") * PLACES + F.col("index")).withColumn("needs", F.struct("place", F.xxhash64("after").alias("after"))))
     results = _keyed(results.select(*[F.col(c.split()[0]) for c in RESULT.split(", ")]))
     who = F.struct("place", "name", F.md5("arguments").alias("arguments"))
     ids = (
@@ -165,14 +165,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, extr
         .unionByName(results.where("key is not null").select("key", F.struct("turn", "content").alias("result")), allowMissingColumns=True)
         .groupBy("key").agg(F.min("first").alias("first"), F.min("result").alias("result"))
     )
-    edges = calls.where("key is not null and size(after) > 0").select("conv_id", "key", "place", F.explode(F.array_distinct("after")).alias("pre"))
+    edges = calls.where("key is not null and size(after) > 0").select("conv_id", "key", "place", "needs", F.explode(F.array_distinct("after")).alias("pre"))
     edges = edges.withColumn("pre", F.struct("conv_id", F.col("pre").alias("call_id"))).distinct()
     known = ids.where("first is not null").select(F.col("key").alias("pre"), F.col("first.place").alias("pre_place"))
     edges = written(edges.join(known, "pre", "left"))
-    missing = edges.where("pre_place is null").groupBy("key").agg(F.size(F.collect_set("pre")).alias("missing_after"))
+    missing = edges.where("pre_place is null").groupBy("key", "needs").agg(F.count("*").alias("missing_after"))
     tangled = edges.where("pre_place >= place").select(F.struct("conv_id").alias("conv")).distinct()
 
-    keyed = calls.join(ids.hint("shuffle_hash"), "key", "left").join(missing, "key", "left")
+    keyed = calls.join(ids.hint("shuffle_hash"), "key", "left").join(missing, ["key", "needs"], "left")
     if tangled.isEmpty():
         keyed = keyed.withColumn("order_key", F.col("place"))
     else:

@@ -253,6 +253,12 @@ def test_tool_calls_with_repeated_identifiers(spark):
     assert sorted(r.status for r in toolcalls.link(*tables, {"t": {}}).collect()) == sorted(s for _, _, s, *_ in got if s != "extra")
 
 
+def test_missing_calls_are_counted_by_call(spark):
+    calls = [(1, 0, 0, "d", "t", "{}", ["gone", "lost", "gone"]), (1, 1, 0, "d", "t", "{}", []), (1, 2, 0, "d", "t", "{}", ["gone", "d"]), (2, 0, 0, "d", "t", "{}", None), (2, 0, 0, "d", "u", "{}", ["x"])]
+    got = toolcalls.link(spark.createDataFrame(calls, toolcalls.CALL), spark.createDataFrame([], toolcalls.RESULT), {}).collect()
+    assert sorted((r.conv_id, r.turn, r.name, r.missing_after) for r in got) == [(1, 0, "t", 2), (1, 1, "t", 0), (1, 2, "t", 1), (2, 0, "t", 0), (2, 0, "u", 1)]
+
+
 def test_native_plan(spark, sf):
     plan = entries.op9_tool_calls(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
