@@ -11,7 +11,7 @@ from fernspark.llm.common import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without (no text, no letter) go. Profiles are learned from the labels among ``docs``."""
+    """Documents with a language; those without (no text, no letter) go. Profiles are learned from the labels among ``docs``; without any, every text with a letter stays."""
     return langid.keep_identified(docs, langid.learn(docs))
 
 

@@ -154,12 +154,15 @@ def identify(docs: DataFrame, profiles: dict[str, Profile], *, id_col: str = "do
 
 
 def keep_identified(docs: DataFrame, profiles: dict[str, Profile], *, text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, whose text has a predicted language; null, empty and letterless texts go."""
+    """The rows, all columns as they are, whose text has a predicted language; null, empty and letterless texts go.
+
+    Where no profile was learned (no label, or no letter in a labelled text), every text with a letter stays.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in texts:
-            yield some.map(lambda t: predict(t, sent.value)[0] != UNKNOWN).astype(bool)
+            yield some.map(lambda t: predict(t, sent.value)[0] != UNKNOWN if sent.value else bool(t) and len(counts(t)[0]) > 0).astype(bool)
 
     return docs.where(known(F.col(text_col)))

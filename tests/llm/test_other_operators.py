@@ -264,6 +264,13 @@ def test_native_plan(spark, sf):
     assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
 
 
+def test_language_stage_without_labels(spark, sf):
+    rows = [(1, "the first text", None), (2, None, None), (3, "", None), (4, "12 34 !", None), (5, "ein Text", None)]
+    for labelled in ([], [(6, "12 !", "en")]):  # no label at all; a label on a text without a letter
+        docs = spark.createDataFrame(rows + labelled, "doc_id long, text string, lang string")
+        assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf).collect()) == [1, 5]
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
