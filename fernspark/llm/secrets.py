@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -23,13 +24,18 @@ KINDS = ("assign", "access", "hex", "pem", "der", "jwt", "sshkey")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 #: Armoured keys, signed tokens and long base64 or hex runs: candidates only, reported if their inside parses.
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?(?:PRIVATE KEY|PUBLIC KEY))-----([A-Za-z0-9+/=\s\\]+)-----END \1-----", re.ASCII)
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?(?:PRIVATE KEY|PUBLIC KEY))-----((?:(?:(?:\r?\n|\\r\\n|\\n)[ \t]*)+[A-Za-z][A-Za-z0-9-]*:[^\n\\]*)*)([A-Za-z0-9+/=\s\\]+)-----END \1-----", re.ASCII)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(e[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_BASE64 = re.compile(r"M[A-Za-z0-9+/]{31,}={0,2}")  # DER sequences begin with byte 0x30, so their base64 with M
-_HEXDER = re.compile(r"(?<![0-9a-fA-F])30[0-9a-fA-F]{62,}(?![0-9a-fA-F])")
+#: A run in either alphabet with the lines that go on after it.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_LINE = re.compile(r"\\r\\n|\\n|[A-Za-z0-9+/_-]+")
+_LONG_HEX = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{64,}(?![0-9a-fA-F])")
+#: Encodings within encodings that are undone.
+MOST_DEPTH = 3
 _SSH = re.compile(r"AAAA[A-Za-z0-9+/]{28,}={0,2}")
 
 Span = tuple[str, int, int]
+_STANDARD = str.maketrans("-_", "+/")
 
 
 def _unbase64(s: str, *, url: bool = False) -> bytes | None:
@@ -73,7 +79,8 @@ def der_elements(data: bytes, a: int, b: int, depth: int = 0) -> list[tuple[int,
 
 def is_der_key(data: bytes, *, exact: bool = True) -> bool:
     """Whether ``data`` is one DER sequence shaped like a key: of integers (PKCS 1), or a version and an algorithm
-    identifier (PKCS 8), an algorithm identifier and a bit string (SPKI), a version and an octet string (SEC 1)."""
+    identifier (PKCS 8), an algorithm identifier and a bit string (SPKI) or, if the algorithm has a sequence of parameters, an
+    octet string (encrypted PKCS 8), a version and an octet string (SEC 1)."""
     if len(data) < 24 or data[0] != 0x30 or not (x := der_length(data, 1)) or exact and x[1] != len(data):
         return False
     parts = der_elements(data, *x)
@@ -82,7 +89,9 @@ def is_der_key(data: bytes, *, exact: bool = True) -> bool:
     tags = [t for t, _, _ in parts]
     oid = lambda p: p[0] == 0x30 and p[2] - p[1] > 2 and data[p[1]] == 0x06
     if tags[0] == 0x30:
-        return len(tags) == 2 and tags[1] == 0x03 and oid(parts[0])
+        if len(tags) != 2 or not oid(parts[0]):
+            return False
+        return tags[1] == 0x03 or tags[1] == 0x04 and [t for t, _, _ in der_elements(data, *parts[0][1:])] == [0x06, 0x30]
     if tags[0] != 0x02:
         return False
     if len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
@@ -124,15 +133,77 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def confirmed_spans(text: str) -> list[Span]:
-    """Spans whose inside decodes to a key or a signed token."""
+def _der_in(s: str, at: int) -> tuple[int, int] | None:
+    """Begin and end of the next base64 of a DER key in ``s``: 0x30 makes an M, the sequence's length tells the end."""
+    while (at := s.find("M", at)) >= 0:
+        head = _unbase64(s[at : at + 8]) if at + 8 <= len(s) else None
+        if head is None:
+            return None
+        k = head[1] & 0x7F if head[1] & 0x80 else 0
+        if head[0] == 0x30 and k <= 4:
+            size = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+            end = at + -(-size * 4 // 3)
+            if end <= len(s) and (data := _unbase64(s[at:end])) and is_der_key(data):
+                return at, end
+        at += 1
+    return None
+
+
+def _decoded_spans(data: bytes, depth: int) -> list[Span]:
+    """Confirmed spans, in bytes, of decoded bytes: all of them if they are a key, else those of the text that they are."""
+    if data.startswith(b"openssh-key-v1\0") or is_ssh_key(data):
+        return [("sshkey", 0, len(data))]
+    if is_der_key(data):
+        return [("der", 0, len(data))]
+    if depth < MOST_DEPTH and (b"-----BEGIN " in data or b"eyJ" in data or b"AAAA" in data or data.isascii()):
+        return confirmed_spans(data.decode("latin-1"), depth + 1)
+    return []
+
+
+def _base64_spans(text: str, m: re.Match, depth: int) -> list[Span]:
+    """Confirmed spans of a run of base64 and the lines after it. What lies in decoded text takes whole lines."""
+    lines = [(x.start() + m.start(), x[0]) for x in _LINE.finditer(m[0]) if x[0][0] != "\\"]
+    places = [0]  # where each line begins in the joined run
+    for _, line in lines:
+        places.append(places[-1] + len(line))
+    joined = "".join(line for _, line in lines).translate(_STANDARD)
+
+    def place(i: int) -> int:
+        k = bisect.bisect_right(places, i, 0, len(lines)) - 1
+        return lines[k][0] + i - places[k]
+
+    def padded(end: int) -> int:
+        return m.end() if end >= m.end() - 2 and not text[end : m.end()].strip("=") else end
+
+    out, at = [], 0
+    while x := _der_in(joined, at):
+        out.append(("der", place(x[0]), padded(place(x[1] - 1) + 1)))
+        at = x[1]
+    # An encoding may stop at any line's end, as the words of the next line can look like more of it, and may begin after other signs.
+    for start in range(4):
+        for n in sorted({len(lines), max(len(lines) - 1, 1), 1}, reverse=True):
+            s = joined[start : places[n]]
+            data = _unbase64(s) if len(s) % 4 != 1 else _unbase64(s[:-1])
+            for kind, a, b in _decoded_spans(data, depth) if data else ():
+                if start and kind == "sshkey" and a == 0 and b == len(data):
+                    continue  # the pattern of SSH keys finds these
+                first = bisect.bisect_right(places, start + a * 4 // 3, 0, len(lines)) - 1
+                last = bisect.bisect_right(places, min(start + -(-b * 4 // 3), places[n]) - 1, 0, len(lines)) - 1
+                span = (kind, lines[first][0], padded(lines[last][0] + len(lines[last][1])))
+                if not any(p <= span[1] and span[2] <= q for _, p, q in out):
+                    out.append(span)
+    return out
+
+
+def confirmed_spans(text: str, depth: int = 0) -> list[Span]:
+    """Spans whose inside decodes to a key or a signed token, through up to ``MOST_DEPTH`` encodings."""
     out = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = _unbase64(re.sub(r"\s|\\[nr]", "", m[2]))
-            if data and (is_der_key(data) or data.startswith(b"openssh-key-v1\0")):
+            data = _unbase64(re.sub(r"\s|\\[nr]", "", m[3]))
+            locked = "ENCRYPTED" in m[2] or "DEK-Info:" in m[2]  # the inside is whole blocks of a cipher
+            if data and (is_der_key(data) or data.startswith(b"openssh-key-v1\0") or locked and len(data) >= 16 and len(data) % 8 == 0):
                 out.append(("pem", *m.span()))
-    inside = lambda m: any(a <= m.start() and m.end() <= b for _, a, b in out)
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     if "AAAA" in text:
@@ -140,12 +211,10 @@ def confirmed_spans(text: str) -> list[Span]:
             if (data := _unbase64(m[0])) and is_ssh_key(data):
                 out.append(("sshkey", *m.span()))
     for m in _BASE64.finditer(text):
-        if not inside(m) and (data := _unbase64(m[0])) and is_der_key(data):
-            out.append(("der", *m.span()))
-    if "30" in text:
-        for m in _HEXDER.finditer(text):
-            if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-                out.append(("der", *m.span()))
+        out += [s for s in _base64_spans(text, m, depth) if not any(a <= s[1] and s[2] <= b for _, a, b in out)]
+    for m in _LONG_HEX.finditer(text):
+        if len(m[0]) % 2 == 0 and (found := _decoded_spans(bytes.fromhex(m[0]), depth)):
+            out.append((found[0][0], *m.span()))
     return out
 
 

@@ -180,6 +180,30 @@ def test_confirmed_spans():
     assert not secrets.find("M" + "A" * 60) and not secrets.find("30" + "é" * 40)
 
 
+def test_encoded_keys():
+    oid = der(0x30, der(6, b"\x2a\x86\x48"), der(5))
+    key = der(0x30, der(2, b"\0"), oid, der(4, bytes(range(3, 250))))
+    pem = "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(key).decode() + "-----END PRIVATE KEY-----\n"
+    for before in ("", "\n", "# a", "# é key\n"):  # as in a kubeconfig or a Secret
+        inner = base64.b64encode((before + pem).encode()).decode()
+        assert secrets.redact(f"client-key-data: {inner}\nuser: x") == "client-key-data: [PEM]\nuser: x"
+    assert secrets.redact("k: " + base64.b64encode(base64.b64encode(pem.encode())).decode()) == "k: [PEM]"
+    assert secrets.redact("k: " + pem.encode().hex().upper()) == "k: [PEM]"
+    url = base64.urlsafe_b64encode(der(0x30, der(2, b"\0"), oid, der(4, b"\xfb\xff\xfe" * 30))).decode()
+    assert "_" in url + "-" and set(url) & set("-_") and secrets.redact(f"k={url.rstrip('=')} z") == "k=[DER] z"
+    wrapped = base64.encodebytes(key).decode()
+    for text in (wrapped, wrapped.replace("\n", "\n    "), wrapped.replace("\n", "\r\n")):
+        assert secrets.redact("key\n" + text.strip() + "\nThen more words") == "key\n[DER]\nThen more words"
+    locked = der(0x30, der(0x30, der(6, b"\x2a\x86\x48"), der(0x30, oid, oid)), der(4, b"\x17" * 64))
+    armour = "-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + base64.encodebytes(locked).decode() + "-----END ENCRYPTED PRIVATE KEY-----"
+    assert secrets.redact(armour) == "[PEM]" and secrets.redact(base64.b64encode(locked).decode()) == "[DER]"
+    old = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0123ABCD\n\n" + base64.encodebytes(b"\x91" * 96).decode() + "-----END RSA PRIVATE KEY-----"
+    assert secrets.redact("a " + old + " z") == "a [PEM] z"
+    digest = der(0x30, oid, der(4, b"\x05" * 32))
+    for plain in (base64.b64encode(digest).decode(), base64.b64encode(b"plain words, " * 30).decode(), "a_long-name/" * 20, "word\n" * 50):
+        assert not secrets.confirmed_spans(plain)
+
+
 def test_redaction():
     assert secrets.redact("a token = 'abcdefabcdefabcdef1234' z") == "a [ASSIGN]' z"
     assert secrets.redact("0123456789abcdef0") == "[HEX]" and secrets.redact("clean") == "clean" and secrets.redact(None) is None and secrets.redact("") == ""
