@@ -2,38 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernspark.session import fresh_path
+
 #: Python objects of about this many bytes of text are made at a time.
 SLICE_BYTES = 4 << 20
 
-_own_folder: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of this machine only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="fernspark-"))
-    return _own_folder[0]
+#: Tables written within :func:`temporary_tables`, innermost last.
+_within: list[list[DataFrame]] = []
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/fernspark-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fernspark_path = path
+    if _within:
+        _within[-1].append(out)
     return out
 
 
@@ -46,10 +40,31 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = SLICE_BYTES, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each piece's ``column`` holds about ``most_bytes``; a single longer value stays whole."""
-    col = batch.column(column)
-    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+@contextmanager
+def temporary_tables() -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the intermediate tables that operators wrote within it; results must be stored before.
+
+    Operators return lazy DataFrames that read such tables, so only the caller knows when they are no longer needed::
+
+        with temporary_tables():
+            simhash.near_duplicates(docs).write.parquet(out)
+
+    What is taken out of the list that it gives, stays.
+    """
+    made: list[DataFrame] = []
+    _within.append(made)
+    try:
+        yield made
+    finally:
+        _within.pop()
+        for df in made:
+            discard(df)
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = SLICE_BYTES, most_rows: int = 2000, sizes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that each piece's ``column`` (or, if given, ``sizes``) holds about ``most_bytes``; a single longer value stays whole."""
+    if sizes is None:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and (held + n > most_bytes or i - start >= most_rows):
