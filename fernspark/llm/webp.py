@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +205,7 @@ def code_lengths(counts: np.ndarray, most: int = MOST_CODE_BITS) -> np.ndarray:
     if len(used) < 2:
         out[used] = 1
         return out
+    first = True  # where codes get too long, rare symbols are first counted as of the least share that fits, then all counts come nearer to each other
     while True:
         heap = [(int(counts[s]), s) for s in used]
         heapq.heapify(heap)
@@ -220,7 +222,8 @@ def code_lengths(counts: np.ndarray, most: int = MOST_CODE_BITS) -> np.ndarray:
             out[s] = depth[up[s]] + 1
         if out.max() <= most:
             return out
-        counts[used] = counts[used] // 2 + 1
+        counts[used] = np.maximum(counts[used], (int(counts[used].sum()) >> (most - 1)) + 1) if first else counts[used] // 2 + 1
+        first = False
 
 
 _reversed: list[np.ndarray] = []
@@ -241,36 +244,44 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-_NO_BITS = np.zeros(1, np.int32)
-
-
 class Code:
-    """Lookup of the next symbol by the next ``bits`` bits of the stream."""
+    """Lookup of the next symbol by the next ``bits`` bits of the stream; the table is made when it is first needed."""
 
     def __init__(self, lengths: np.ndarray | None, lone: int = 0):
+        self.lengths, self.bits, self.lone = lengths, 0, lone
+        self._table: tuple[np.ndarray, np.ndarray] | None = None
         if lengths is None:
-            self.bits, self.symbol, self.length = 0, np.array([lone], np.int32), _NO_BITS
             return
         used = np.flatnonzero(lengths)
         if not len(used):
             raise ValueError("a prefix code without symbols")
         if len(used) == 1:
-            self.bits, self.symbol, self.length = 0, used.astype(np.int32), np.zeros(1, np.int32)
-        else:
-            if int((1 << (MOST_CODE_BITS - lengths[used])).sum()) != 1 << MOST_CODE_BITS:
-                raise ValueError("a prefix code that isn't complete")
-            self.bits = int(lengths.max())
-            both = np.zeros(1 << self.bits, np.int32)
-            for s, c, n in zip(used.tolist(), canonical(lengths)[used].tolist(), lengths[used].tolist(), strict=True):
-                both[c :: 1 << n] = s << 4 | n
-            self.symbol, self.length = both >> 4, both & 15
+            self.lone = int(used[0])
+            return
+        size = lengths[used]
+        if int((1 << (MOST_CODE_BITS - size)).sum()) != 1 << MOST_CODE_BITS:
+            raise ValueError("a prefix code that isn't complete")
+        self.bits = int(size.max())
+
+    @property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and length by the next bits."""
+        if self._table is None:
+            both = np.full(1 << self.bits, self.lone << 4, np.int32)
+            if self.bits:
+                used = np.flatnonzero(self.lengths)
+                for s, c, n in zip(used.tolist(), canonical(self.lengths)[used].tolist(), self.lengths[used].tolist(), strict=True):
+                    both[c :: 1 << n] = s << 4 | n
+            self._table = both >> 4, both & 15
+        return self._table
 
     def next(self, bits: Bits) -> int:
         if not self.bits:
-            return int(self.symbol[0])
+            return self.lone
+        symbol, length = self.table
         i = bits.peek(self.bits)
-        bits.at += int(self.length[i])
-        return int(self.symbol[i])
+        bits.at += int(length[i])
+        return int(symbol[i])
 
 
 class Bits:
@@ -291,6 +302,23 @@ class Bits:
         return x
 
 
+#: Steps through code lengths by the code that they are written in; as many are kept as encoders use often.
+_steps: dict[bytes, tuple[list[tuple[int, int]], int]] = {}
+MOST_STEPS = 256
+
+
+def steps_of(of_lengths: np.ndarray) -> tuple[list[tuple[int, int]], int]:
+    """By the next bits of code lengths: a symbol and its length; and the mask of these bits."""
+    key = of_lengths.tobytes()
+    if key not in _steps:
+        code = Code(of_lengths)
+        if len(_steps) >= MOST_STEPS:
+            _steps.clear()
+        symbol, length = code.table
+        _steps[key] = list(zip(symbol.tolist(), length.tolist(), strict=True)), (1 << code.bits) - 1
+    return _steps[key]
+
+
 def read_code(bits: Bits, size: int) -> Code:
     if bits.read(1):
         two = bits.read(1)
@@ -319,8 +347,7 @@ def read_code(bits: Bits, size: int) -> Code:
         left = 2 + (x & ((1 << n) - 1))
         x >>= n
         used += 3 + n
-    code = Code(of_lengths)
-    steps, mask = list(zip(code.symbol.tolist(), code.length.tolist(), strict=True)), (1 << code.bits) - 1
+    steps, mask = steps_of(of_lengths)
     found, last = [], 8
     while len(found) < size and left:
         left -= 1
@@ -370,48 +397,81 @@ def distance(code: int, width: int) -> int:
 # --- decoder ----------------------------------------------------------------------------------------------------------
 
 
-def read_image(bits: Bits, width: int, height: int, *, main: bool) -> np.ndarray:
-    """An entropy-coded image; only the main one can have several groups of codes."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    if cache_bits > 11:
-        raise ValueError("too large a colour cache")
-    groups, tile_bits, tiles = 1, 0, None
-    if main and bits.read(1):
-        tile_bits = bits.read(3) + 2
-        tiles = read_image(bits, -(-width >> tile_bits), -(-height >> tile_bits), main=False) >> np.uint32(8) & np.uint32(0xFFFF)
-        groups = int(tiles.max()) + 1
-    sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    codes = [[read_code(bits, n) for n in sizes] for _ in range(groups)]
-    if groups == 1 and not cache_bits and not any(c.bits for c in codes[0][1:4]):
-        return read_grey(bits, width, height, codes[0])
-    out = np.zeros(width * height, np.uint32)
-    put, cache, at, seen = out.tolist(), [0] * (1 << cache_bits), 0, 0
-    total = width * height
-    while at < total:
-        group = codes[int(tiles[(at // width) >> tile_bits, (at % width) >> tile_bits])] if tiles is not None else codes[0]
-        s = group[0].next(bits)
-        if s < 256:
-            red, blue, alpha = group[1].next(bits), group[2].next(bits), group[3].next(bits)
-            put[at] = alpha << 24 | red << 16 | s << 8 | blue
-            at += 1
-        elif s < 256 + LENGTH_CODES:
-            n = read_value(bits, s - 256)
-            d = distance(read_value(bits, group[4].next(bits)), width)
-            if d > at or at + n > total:
-                raise ValueError("a back-reference to outside the image")
-            for i in range(at, at + n):
-                put[i] = put[i - d]
-            at += n
-        else:
-            if cache_bits:
-                for p in put[seen:at]:
-                    cache[(p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - cache_bits)] = p
-            seen = at
-            put[at] = cache[s - 256 - LENGTH_CODES]
-            at += 1
-        if bits.at > bits.end:
+class Image:
+    """An entropy-coded image whose codes have been read; only the main one of a file can have several groups of codes."""
+
+    def __init__(self, bits: Bits, width: int, height: int, *, main: bool):
+        self.bits, self.width, self.height = bits, width, height
+        self.cache_bits = bits.read(4) if bits.read(1) else 0
+        if self.cache_bits > 11:
+            raise ValueError("too large a colour cache")
+        groups, self.tile_bits, self.tiles = 1, 0, None
+        if main and bits.read(1):
+            self.tile_bits = bits.read(3) + 2
+            self.tiles = Image(bits, -(-width >> self.tile_bits), -(-height >> self.tile_bits), main=False).read() >> np.uint32(8) & np.uint32(0xFFFF)
+            groups = int(self.tiles.max()) + 1
+        sizes = (256 + LENGTH_CODES + (1 << self.cache_bits if self.cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
+        self.codes = [[read_code(bits, n) for n in sizes] for _ in range(groups)]
+        #: Only green varies.
+        self.grey = groups == 1 and not self.cache_bits and not any(c.bits for c in self.codes[0][1:4])
+        #: Pixels read so far, if only green varies.
+        self.at, self.green = 0, np.zeros(0, np.uint8)
+
+    def read(self) -> np.ndarray:
+        """Its pixels."""
+        if self.grey:
+            self.green = np.zeros(self.width * self.height, np.uint8)
+            read_green(self)
+            return self.pixels()
+        bits, width, codes, cache_bits, tiles = self.bits, self.width, self.codes, self.cache_bits, self.tiles
+        total = width * self.height
+        put, cache, at, seen = [0] * total, [0] * (1 << cache_bits), 0, 0
+        while at < total:
+            group = codes[int(tiles[(at // width) >> self.tile_bits, (at % width) >> self.tile_bits])] if tiles is not None else codes[0]
+            s = group[0].next(bits)
+            if s < 256:
+                red, blue, alpha = group[1].next(bits), group[2].next(bits), group[3].next(bits)
+                put[at] = alpha << 24 | red << 16 | s << 8 | blue
+                at += 1
+            elif s < 256 + LENGTH_CODES:
+                n = read_value(bits, s - 256)
+                d = distance(read_value(bits, group[4].next(bits)), width)
+                if d > at or at + n > total:
+                    raise ValueError("a back-reference to outside the image")
+                for i in range(at, at + n):
+                    put[i] = put[i - d]
+                at += n
+            else:
+                if cache_bits:
+                    for p in put[seen:at]:
+                        cache[(p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - cache_bits)] = p
+                seen = at
+                put[at] = cache[s - 256 - LENGTH_CODES]
+                at += 1
+            if bits.at > bits.end:
+                raise ValueError("the image ends early")
+        return np.array(put, np.uint32).reshape(self.height, width)
+
+    def event(self) -> None:
+        """Reads one symbol of an image where only green varies."""
+        green, bits, at = self.codes[0][0], self.bits, self.at
+        if bits.at >= bits.end and green.bits:
             raise ValueError("the image ends early")
-    return np.array(put, np.uint32).reshape(height, width)
+        s = green.next(bits)
+        if s < 256:
+            self.green[at] = s
+            self.at = at + 1
+            return
+        n = read_value(bits, s - 256)
+        d = distance(read_value(bits, self.codes[0][4].next(bits)), self.width)
+        if d > at or at + n > self.width * self.height:
+            raise ValueError("a back-reference to outside the image")
+        self.green[at : at + n] = self.green[at - d : at - d + n] if d >= n else np.resize(self.green[at - d : at], n)
+        self.at = at + n
+
+    def pixels(self) -> np.ndarray:
+        rest = np.uint32(self.codes[0][3].lone << 24 | self.codes[0][1].lone << 16 | self.codes[0][2].lone)
+        return (self.green[: self.width * self.height].astype(np.uint32).reshape(self.height, self.width) << np.uint32(8)) | rest
 
 
 #: Symbols that one lookup gives at most.
@@ -422,7 +482,8 @@ def symbol_table(code: Code, index_bits: int) -> list[int]:
     """By the next ``index_bits`` bits, the literals that they hold whole: up to four bytes, from bit 32 their number, from bit 36 their bits;
     0 where the first symbol isn't a literal or doesn't fit."""
     window = np.arange(1 << index_bits)
-    both, mask = code.symbol.astype(np.int64) << 4 | code.length, (1 << code.bits) - 1
+    symbol, size = code.table
+    both, mask = symbol.astype(np.int64) << 4 | size, (1 << code.bits) - 1
     at, packed, n = np.zeros_like(window), np.zeros_like(window), np.zeros_like(window)
     alive = np.ones(len(window), np.int64)
     for k in range(AT_ONCE):
@@ -437,31 +498,30 @@ def symbol_table(code: Code, index_bits: int) -> list[int]:
     return ((packed | n << 32 | at << 36) * (n > 0)).tolist()
 
 
-def read_grey(bits: Bits, width: int, height: int, group: list[Code]) -> np.ndarray:
-    """An image where only green varies: several literals by one lookup, until a back-reference or the end comes near."""
-    green, total, at = group[0], width * height, 0
-    out = np.zeros(total, np.uint8)
-    rest = np.uint32(int(group[3].symbol[0]) << 24 | int(group[1].symbol[0]) << 16 | int(group[2].symbol[0]))
+def read_green(image: Image) -> None:
+    """The rest of an image where only green varies: several literals by one lookup, until a back-reference or the end comes near."""
+    bits, green, total, out = image.bits, image.codes[0][0], image.width * image.height, image.green
     if not green.bits:
-        if green.symbol[0] >= 256:
+        if green.lone >= 256:
             raise ValueError("a back-reference to outside the image")
-        out[:] = green.symbol[0]
-        return (out.astype(np.uint32).reshape(height, width) << np.uint32(8)) | rest
-    index_bits = 10 if total < 1 << 12 else 11 if total < 1 << 13 else 12
-    mask, table = (1 << index_bits) - 1, symbol_table(green, index_bits)
-    data = np.frombuffer(bits.data + b"\0\0\0", np.uint8).astype(np.int32)
-    column = np.arange(AT_ONCE)
+        out[image.at : total], image.at = green.lone, total
+        return
+    left = total - image.at
+    index_bits = 10 if left < 1 << 12 else 11 if left < 1 << 13 else 12
+    mask, table = (1 << index_bits) - 1, symbol_table(green, index_bits) if left > 16 else []
+    data = np.frombuffer(bits.data[bits.at >> 3 :] + b"\0\0\0", np.uint8).astype(np.int32)
+    origin, column = bits.at >> 3, np.arange(AT_ONCE)
     base, window = 0, []
-    while at < total:
-        if not base <= bits.at < base + 8 * len(window):
+    while image.at < total:
+        if table and not base <= bits.at < base + 8 * len(window):
             first = bits.at >> 3
-            some = data[first : first + CHUNK + 2]
+            some = data[first - origin : first - origin + CHUNK + 2]
             if len(some) < 3:
                 raise ValueError("the image ends early")
             base, window = first << 3, (some[:-2] | some[1:-1] << 8 | some[2:] << 16).tolist()
         p = bits.at - base
         got: list[int] = []
-        steps = min((total - at) // AT_ONCE, (8 * len(window) - p) // index_bits)
+        steps = min((total - image.at) // AT_ONCE, (8 * len(window) - p) // index_bits) if table else 0
         keep = got.append
         for _ in range(steps):
             v = table[window[p >> 3] >> (p & 7) & mask]
@@ -475,67 +535,156 @@ def read_grey(bits: Bits, width: int, height: int, group: list[Code]) -> np.ndar
         if got:
             v = np.array(got, np.int64)
             literals = v.astype(np.uint32).view(np.uint8).reshape(-1, AT_ONCE)[column < (v >> 32 & 15)[:, None]]
-            out[at : at + len(literals)] = literals
-            at += len(literals)
-            if total - at >= AT_ONCE and not steps:
+            out[image.at : image.at + len(literals)] = literals
+            image.at += len(literals)
+            if total - image.at >= AT_ONCE and not steps:
                 continue
-        if at >= total:
-            break
-        if bits.at >= bits.end:
-            raise ValueError("the image ends early")
-        s = green.next(bits)
-        if s < 256:
-            out[at] = s
-            at += 1
-            continue
-        n = read_value(bits, s - 256)
-        d = distance(read_value(bits, group[4].next(bits)), width)
-        if d > at or at + n > total:
-            raise ValueError("a back-reference to outside the image")
-        out[at : at + n] = out[at - d : at - d + n] if d >= n else np.resize(out[at - d : at], n)
-        at += n
+        if image.at < total:
+            image.event()
     if bits.at > bits.end:
         raise ValueError("the image ends early")
-    return (out.astype(np.uint32).reshape(height, width) << np.uint32(8)) | rest
+
+
+#: Bits by which images in lockstep look up their next symbols, symbols that one lookup gives at most, and images from which on lockstep pays.
+STEP_BITS, STEP_SYMBOLS, FEW = 10, 3, 48
+
+
+def step_tables(codes: list[Code]) -> np.ndarray:
+    """For each code by the next ``STEP_BITS`` bits the literals that they hold whole: three bytes, then from bit 24 their number, from bit 26 their bits;
+    0 where the first symbol isn't a literal or doesn't fit."""
+    size = 1 << STEP_BITS
+    lengths = np.stack([c.lengths for c in codes])
+    which, symbol = np.nonzero(lengths)
+    n = lengths[which, symbol]
+    fits = n <= STEP_BITS
+    which, symbol, n = which[fits], symbol[fits], n[fits]
+    share = 1 << (STEP_BITS - n)
+    # Read from the highest bit on, a code's table is its symbols by length, each as often as its share of the code space; what longer codes take is left.
+    rest = size - np.bincount(which, share, len(codes)).astype(np.int64)
+    order = np.argsort(np.concatenate([which, np.arange(len(codes))]) << 5 | np.concatenate([n, np.full(len(codes), 31)]), kind="stable")
+    entry = np.concatenate([np.where(symbol < 256, symbol << 4 | n, 0), np.zeros(len(codes), np.int64)])[order]
+    first = np.repeat(entry.astype(np.int32), np.concatenate([share, rest])[order]).reshape(len(codes), size)
+    canonical(np.ones(2, np.int64))  # makes the table of reversed bits
+    first = first[:, _reversed[0][:size] >> (MOST_CODE_BITS - STEP_BITS)]
+    at = first & 15
+    packed, number, good = first >> 4, (first > 0).astype(np.int32), first > 0
+    window = np.arange(size, dtype=np.int32)
+    for k in range(1, STEP_SYMBOLS):
+        more = np.take_along_axis(first, window >> at, 1)
+        good = good & (more > 0) & (at + (more & 15) <= STEP_BITS)
+        packed |= np.where(good, more >> 4 << 8 * k, 0)
+        at += np.where(good, more & 15, 0)
+        number += good
+    return np.where(number > 0, packed | number << 24 | at << 26, 0).ravel()
+
+
+def read_greens(images: list[Image]) -> None:
+    """Many images where only green varies, in lockstep: each step looks up the next symbols of all of them."""
+    images = [i for i in images if i.codes[0][0].bits]
+    if len(images) < FEW:
+        return
+    table = step_tables([i.codes[0][0] for i in images])
+    data = np.frombuffer(b"".join(i.bits.data for i in images) + bytes(4), np.uint8).astype(np.int32)
+    window = data[:-2] | data[1:-1] << 8 | data[2:] << 16
+    size = np.array([len(i.bits.data) for i in images], np.int64)
+    total = np.array([i.width * i.height for i in images], np.int64)
+    start = 8 * (np.cumsum(size) - size)
+    room = total + STEP_SYMBOLS  # the last step may go beyond an image's end
+    place = np.cumsum(room) - room
+    out = np.zeros(int(room.sum()), np.uint8)
+    for i, a, n in zip(images, place.tolist(), room.tolist(), strict=True):
+        i.green = out[a : a + n]
+    last = 8 * len(window) - 1
+    lane, pos, at, end = np.arange(len(images)), start + [i.bits.at for i in images], place.copy(), place + total
+    base = lane << STEP_BITS
+    while len(lane) >= FEW:
+        e = table[base + (window[pos >> 3] >> (pos & 7) & ((1 << STEP_BITS) - 1))]
+        out[at] = e & 255
+        out[at + 1] = e >> 8 & 255
+        out[at + 2] = e >> 16 & 255
+        at += e >> 24 & 3
+        pos += e >> 26
+        halt = (e == 0) | (at >= end) | (pos > last)
+        if halt.any():
+            for k in np.flatnonzero(halt).tolist():
+                i = int(lane[k])
+                image = images[i]
+                image.at, image.bits.at = int(at[k] - place[i]), int(pos[k] - start[i])
+                if image.at < total[i]:
+                    image.event()
+                elif image.at > total[i] and image.bits.at <= image.bits.end + STEP_BITS:  # symbols beyond the end were looked up
+                    image.at, image.bits.at = int(total[i]), min(image.bits.at, image.bits.end)
+                if image.bits.at > image.bits.end:
+                    raise ValueError("the image ends early")
+                at[k], pos[k] = place[i] + image.at, start[i] + image.bits.at
+            keep = at < end
+            if not keep.all():
+                lane, pos, at, end, base = lane[keep], pos[keep], at[keep], end[keep], base[keep]
+    for k, i in enumerate(lane.tolist()):
+        images[i].at, images[i].bits.at = int(at[k] - place[i]), int(pos[k] - start[i])
+
+
+class File:
+    """A lossless WebP file, read up to its main image's codes."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
+            raise ValueError("not a lossless WebP file")
+        bits = Bits(data[20 : 20 + struct.unpack("<I", data[16:20])[0]])
+        if bits.read(8) != SIGNATURE:
+            raise ValueError("not a lossless WebP image")
+        width, height = bits.read(14) + 1, bits.read(14) + 1
+        bits.read(1)
+        if bits.read(3):
+            raise ValueError("an unknown version")
+        self.todo, inner = [], width
+        while bits.read(1):
+            kind = bits.read(2)
+            if kind in [t[0] for t in self.todo]:
+                raise ValueError("a transform twice")
+            if kind in (PREDICTOR, CROSS_COLOUR):
+                n = bits.read(3) + 2
+                self.todo.append((kind, n, Image(bits, -(-inner >> n), -(-height >> n), main=False).read()))
+            elif kind == PALETTE:
+                size = bits.read(8) + 1
+                table = Image(bits, size, 1, main=False).read()
+                self.todo.append((kind, inner, pixels(np.cumsum(channels(table)[0], axis=0, dtype=np.uint8))))
+                inner = -(-inner >> bundle_bits(size))
+            else:
+                self.todo.append((kind,))
+        self.image = Image(bits, inner, height, main=True)
+
+    def pixels(self) -> np.ndarray:
+        """The main image, read to its end, with the transforms undone."""
+        image = self.image
+        if len(image.green):
+            read_green(image)
+            x, image.green = image.pixels(), image.green[:0]
+        else:
+            x = image.read()
+        for kind, *more in reversed(self.todo):
+            if kind == PREDICTOR:
+                x = invert_predictor(x, more[0], more[1] >> np.uint32(8) & np.uint32(15))
+            elif kind == CROSS_COLOUR:
+                x = cross_colour(x, more[0], more[1], invert=True)
+            elif kind == SUBTRACT_GREEN:
+                x = green_shift(x, 1)
+            else:
+                x = from_palette(x, more[1], more[0])
+        return x
 
 
 def decode(data: bytes) -> np.ndarray:
     """The image's pixels, alpha in the highest byte: (height, width) uint32."""
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
-        raise ValueError("not a lossless WebP file")
-    bits = Bits(data[20 : 20 + struct.unpack("<I", data[16:20])[0]])
-    if bits.read(8) != SIGNATURE:
-        raise ValueError("not a lossless WebP image")
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    bits.read(1)
-    if bits.read(3):
-        raise ValueError("an unknown version")
-    todo, inner = [], width
-    while bits.read(1):
-        kind = bits.read(2)
-        if kind in [t[0] for t in todo]:
-            raise ValueError("a transform twice")
-        if kind in (PREDICTOR, CROSS_COLOUR):
-            n = bits.read(3) + 2
-            todo.append((kind, n, read_image(bits, -(-inner >> n), -(-height >> n), main=False)))
-        elif kind == PALETTE:
-            size = bits.read(8) + 1
-            table = read_image(bits, size, 1, main=False)
-            todo.append((kind, inner, pixels(np.cumsum(channels(table)[0], axis=0, dtype=np.uint8))))
-            inner = -(-inner >> bundle_bits(size))
-        else:
-            todo.append((kind,))
-    x = read_image(bits, inner, height, main=True)
-    for kind, *more in reversed(todo):
-        if kind == PREDICTOR:
-            x = invert_predictor(x, more[0], more[1] >> np.uint32(8) & np.uint32(15))
-        elif kind == CROSS_COLOUR:
-            x = cross_colour(x, more[0], more[1], invert=True)
-        elif kind == SUBTRACT_GREEN:
-            x = green_shift(x, 1)
-        else:
-            x = from_palette(x, more[1], more[0])
-    return x
+    return File(data).pixels()
+
+
+def decode_all(files: list[bytes]) -> Iterator[np.ndarray]:
+    """The pixels of each file, as :func:`decode` gives them; images where only green varies are read in lockstep. What is held is the samples of all files, so callers bound these."""
+    opened = [File(f) for f in files]
+    read_greens([f.image for f in opened if f.image.grey])
+    for f in opened:
+        yield f.pixels()
 
 
 # --- encoder ----------------------------------------------------------------------------------------------------------
@@ -561,22 +710,33 @@ class Writer:
 
     def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
         """Values of their own numbers of bits, in order."""
-        place = np.arange(max(int(sizes.max(initial=0)), 1))
-        self.put_bits((values[:, None] >> place & 1).astype(np.uint8)[place < sizes[:, None]])
+        for i in range(0, len(values), 1 << 20):
+            v, n = values[i : i + (1 << 20)], sizes[i : i + (1 << 20)]
+            end = np.cumsum(n)
+            start = end - n
+            word, v = start >> 5, (v & ((1 << n) - 1)).astype(np.int64) << (start & 31)
+            total = int(end[-1])
+            # Bits of different values never meet, so sums of the shifted values by word are their union; floats hold 32 bits exactly.
+            words = np.bincount(word, v & 0xFFFFFFFF, (total >> 5) + 2)
+            words[1:] += np.bincount(word, v >> 32, (total >> 5) + 2)[:-1]
+            self.put_bits(np.unpackbits(words.astype("<u4").view(np.uint8), count=total, bitorder="little"))
 
     def put_symbols(self, symbols: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
-        """Codes of symbols; their bits are taken from a table of all symbols."""
-        place = np.arange(max(int(sizes.max(initial=0)), 1))
-        bits, has = (codes[:, None] >> place & 1).astype(np.uint8), place < sizes[:, None]
+        """Codes of symbols."""
         for i in range(0, len(symbols), 1 << 20):
             some = symbols[i : i + (1 << 20)]
-            self.put_bits(bits[some][has[some]])
+            self.put_all(codes[some], sizes[some])
 
     def bytes(self) -> bytes:
         self.put_bits(np.empty(0, np.uint8))
         return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
 
 
+#: The code in which the encoder writes code lengths 0 to 15, and runs: bits of each.
+LENGTH_CODE = (2, 7, 7, 4, 4, 4, 4, 4, 4, 4, 4, 5, 5, 6, 7, 7, 6, 4, 4)
+_codes_of_lengths: list[tuple[int, int]] = []
+
+
 def write_code(w: Writer, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths).tolist()
     if not used:
@@ -586,33 +746,37 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
         if len(used) == 2:
             w.put(used[1], 8)
         return
-    tokens: list[tuple[int, int, int]] = []  # symbol, extra bits, their value
-    i, last = 0, int(np.flatnonzero(lengths)[-1]) + 1
-    values = lengths.tolist()
-    while i < last:
-        n = 1
-        while i + n < last and values[i + n] == values[i] and n < 138:
-            n += 1
-        if values[i] == 0 and n >= 3:
-            tokens.append((17, 3, n - 3) if n < 11 else (18, 7, n - 11))
-        elif values[i] and n >= 4:
-            n = min(n, 7)
-            tokens += [(values[i], 0, 0), (16, 2, n - 4)]
-        else:
-            n = 1
-            tokens.append((values[i], 0, 0))
-        i += n
-    count = np.bincount([t[0] for t in tokens], minlength=19)
-    of = code_lengths(count, 7)
-    shown = max(4, max(k + 1 for k, s in enumerate(CODE_LENGTH_ORDER) if of[s]))
-    w.put(0, 1), w.put(shown - 4, 4)
-    for s in CODE_LENGTH_ORDER[:shown]:
-        w.put(int(of[s]), 3)
-    w.put(1, 1), w.put(6, 3), w.put(len(tokens) - 2 if len(tokens) >= 2 else 0, 14)
-    lone = np.count_nonzero(of) == 1
-    codes = canonical(of)
-    for s, n, v in tokens if len(tokens) >= 2 else tokens * 2:
-        w.put(int(codes[s]), 0 if lone else int(of[s])), w.put(v, n)
+    # Code lengths and runs of them, all in one code that suits lists of lengths, so that it is made but once, here and in a reader.
+    codes, few, held, number, end = _length_codes(), 0, 0, 0, used[-1] + 1
+    for value, run in groupby(lengths[:end].tolist()):
+        left = len(list(run))
+        if value:
+            few, held, number, left = few | codes[value][0] << held, held + codes[value][1], number + 1, left - 1
+        while left:
+            n = left
+            if value and n >= 3:
+                n, symbol, extra = min(n, 6), 16, 2
+                more = n - 3
+            elif not value and n >= 3:
+                n = min(n, 138)
+                symbol, extra, more = (17, 3, n - 3) if n < 11 else (18, 7, n - 11)
+            else:
+                n, symbol, extra, more = 1, value, 0, 0
+            code, size = codes[symbol]
+            few, held, number, left = few | (code | more << size) << held, held + size + extra, number + 1, left - n
+    if number == 1:  # the format counts from two on
+        few, held, number = few | codes[0][0] << held, held + codes[0][1], 2
+    w.put(0, 1), w.put(19 - 4, 4)
+    for k in CODE_LENGTH_ORDER:
+        w.put(LENGTH_CODE[k], 3)
+    w.put(1, 1), w.put(6, 3), w.put(number - 2, 14), w.put(few, held)
+
+
+def _length_codes() -> list[tuple[int, int]]:
+    """Codes and sizes of code lengths and their runs."""
+    if not _codes_of_lengths:
+        _codes_of_lengths.extend(zip(canonical(np.array(LENGTH_CODE)).tolist(), LENGTH_CODE, strict=True))
+    return _codes_of_lengths
 
 
 def matches(x: np.ndarray) -> list[tuple[int, int, int]]:
@@ -675,7 +839,7 @@ def write_grey(w: Writer, green: np.ndarray, rest: int, references: bool) -> Non
     for _, _, n, d in split:
         counts[256 + n[0]] += 1
         far[d[0]] += 1
-    sizes, far_sizes = code_lengths(counts), code_lengths(far)
+    sizes, far_sizes = code_lengths(counts, STEP_BITS), code_lengths(far)  # a reader in lockstep needs no more bits
     write_code(w, sizes)
     for shift in (16, 0, 24):
         w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(rest >> shift & 255, 8)
@@ -810,11 +974,10 @@ def encode(argb: np.ndarray, transforms: list[tuple] = (), *, cache_bits: int =
 # --- bytes as images --------------------------------------------------------------------------------------------------
 
 
-def _cost(x: np.ndarray) -> float:
-    """Bits that ideal codes for these bytes take."""
-    n = np.bincount(x.ravel(), minlength=256).astype(float)
+def _cost(n: np.ndarray) -> float:
+    """Bits that ideal codes take for bytes that occur so often."""
     n = n[n > 0]
-    return float((n * np.log2(n.sum() / n)).sum())
+    return float(n.sum() * np.log2(n.sum()) - (n * np.log2(n)).sum())
 
 
 def store(payload: bytes) -> bytes:
@@ -835,28 +998,38 @@ def store(payload: bytes) -> bytes:
             x = np.concatenate([x, np.zeros(width * height - len(x), np.uint8)])
         grey = x.reshape(height, width)
         argb = grey.astype(np.uint32) * np.uint32(0x010101) | np.uint32(BLACK)
-        if len(np.unique(x)) <= 16:
+        often = np.bincount(x, minlength=256)
+        if np.count_nonzero(often) <= 16:
             out.append(encode(argb, [(PALETTE,)]))
             continue
         up, left = grey.copy(), grey.copy()
         up[1:] -= grey[:-1]
         left[:, 1:] -= grey[:, :-1]
-        mode = int(np.argmin([_cost(grey), _cost(left), _cost(up)]))
+        mode = int(np.argmin([_cost(often), _cost(np.bincount(left.ravel(), minlength=256)), _cost(np.bincount(up.ravel(), minlength=256))]))
         bits = 9
         tiles = np.full((-(-height >> bits), -(-width >> bits)), mode)
         out.append(encode(argb, ([(PREDICTOR, bits, tiles)] if mode else []) + [(SUBTRACT_GREEN,)]))
     return b"".join(out)
 
 
-def images(data: bytes) -> Iterator[np.ndarray]:
-    """The pixels of concatenated files."""
+def files(data: bytes) -> Iterator[bytes]:
+    """Concatenated files apart."""
     at = 0
     while at < len(data):
         n = 8 + struct.unpack("<I", data[at + 4 : at + 8])[0]
-        yield decode(data[at : at + n])
+        yield data[at : at + n]
         at += n
 
 
+def images(data: bytes) -> Iterator[np.ndarray]:
+    """The pixels of concatenated files."""
+    return map(decode, files(data))
+
+
+#: Samples that are read back together, about.
+TOGETHER_BYTES = 6 << 20
+
+
 def features(samples: np.ndarray, shape: tuple[int, int]) -> str:
     """Size, mean, standard deviation and the mean of each of 16 equal bands of the samples, from the pixel array; their number is a multiple of 16."""
     count = np.bincount(samples, minlength=256)
@@ -894,11 +1067,13 @@ def samples(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "media"):
+            for part in slices(batch, "media", TOGETHER_BYTES, 1 << 14, sizes=batch.column("payload_bytes").to_numpy()):
                 payloads, found = [], []
-                for data, n in zip(part.column("media").to_pylist(), part.column("payload_bytes").to_pylist(), strict=True):
-                    all_pixels = list(images(data))
-                    grey = np.concatenate([channels(x)[..., 1].ravel() for x in all_pixels])[:n]
+                apart = [list(files(x)) for x in part.column("media").to_pylist()]
+                together = decode_all([f for x in apart for f in x])
+                for x, n in zip(apart, part.column("payload_bytes").to_pylist(), strict=True):
+                    all_pixels = [next(together) for _ in x]
+                    grey = (np.concatenate([channels(p)[..., 1].ravel() for p in all_pixels]) if len(x) > 1 else channels(all_pixels[0])[..., 1].ravel())[:n]
                     payloads.append(grey.tobytes()), found.append(features(grey, all_pixels[0].shape))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), pa.array(found, pa.string())], [*names, "samples", "feature"])
 
