@@ -13,13 +13,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernspark.llm.common import slices
+from fernspark.llm.common import slices, written
 
 #: Fixed values of the format: the magic number of the skippable frame that holds the dictionary, and the profile of revisits.
 DICTIONARY_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes of an archive, about; bytes of a dictionary; bytes of the archive's own records that it is trained on, at about.
 ARCHIVE_BYTES, DICTIONARY_BYTES, TRAIN_BYTES = 16 << 20, 64 << 10, 4 << 20
+#: A record counts for training in parts of this size, and for at most this share of the training bytes.
+PART_BYTES, RECORD_SHARE = 8 << 10, 1 / 16
+#: Digests of repeated payloads that are broadcast at most; more are joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
 LEVEL = 3
 DATE = "2020-01-01T00:00:00Z"
 
@@ -39,18 +43,30 @@ def record(row: dict) -> bytes:
     return b"WARC/1.1\r\n" + "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
 
 
+def samples(records: list[bytes]) -> list[bytes]:
+    """Parts of the records for training, about ``TRAIN_BYTES`` together, evenly spaced; a long record has evenly spaced parts too, so it can't take the place of the others."""
+    parts: list[bytes] = []
+    most = int(TRAIN_BYTES * RECORD_SHARE)
+    for r in records:
+        step = PART_BYTES * max(1, -(-len(r) // most))
+        parts += [r[i : i + PART_BYTES] for i in range(0, len(r), step)]
+    step = max(1, -(-sum(map(len, parts)) // TRAIN_BYTES))
+    return parts[::step]
+
+
 def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict | None:
-    """Trained on the archive's records, evenly spaced ones up to ``TRAIN_BYTES``; None where they are too few or too small to train on."""
-    total = sum(map(len, records))
-    step = max(1, -(-total // TRAIN_BYTES))
+    """Trained on the archive's records; None where they are too few or too small to train on, as the library finds. :func:`archives` tells which archives have none."""
+    some = samples(records)
     try:
-        return zstandard.train_dictionary(min(size, max(256, total // 8)), records[::step], k=512, d=8)
+        return zstandard.train_dictionary(min(size, max(256, sum(map(len, records)) // 8)), some, k=512, d=8)
     except zstandard.ZstdError:
+        if sum(map(len, some)) > PART_BYTES * 16:  # enough of both
+            raise
         return None
 
 
-def write_archive(records: list[bytes]) -> bytes:
-    """The dictionary in a leading skippable frame, then a frame per record. Without a dictionary the first frame is left out."""
+def write_archive(records: list[bytes]) -> tuple[bytes, int]:
+    """The dictionary in a leading skippable frame, then a frame per record; and the dictionary's size. Without a dictionary the first frame is left out."""
     d = dictionary(records)
     out = []
     if d:
@@ -61,7 +77,7 @@ def write_archive(records: list[bytes]) -> bytes:
     else:
         packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
     out += map(packer.compress, records)
-    return b"".join(out)
+    return b"".join(out), len(d.as_bytes()) if d else 0
 
 
 def read_records(data: bytes) -> Iterator[bytes]:
@@ -109,31 +125,38 @@ def with_revisits(pages: DataFrame, *, least_bytes: int = 100, id_col: str = "pa
 
     Of rows with equal payloads of at least ``least_bytes`` bytes that with the smallest id is a response and the others revisit it; rows that
     repeat the smallest id are responses too, and so are all rows of a payload where every id is null. A null html is an empty payload.
-    Only digests and ids are aggregated, with map-side minima; a digest with very many rows is split by the
-    join's skew handling, as both of its sides come straight from a shuffle.
+    Only digests and ids are aggregated, with map-side minima. Payloads aren't shuffled unless over ``BROADCAST_DIGESTS`` of them are repeated; then a digest with very many rows is split by the
+    join's skew handling, as both of its sides come straight from a shuffle. An empty table gives an empty table; other columns aren't read, whatever their names.
     """
     text = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text.alias("payload"), F.octet_length(text).cast("long").alias("payload_bytes"), F.sha2(text, 256).alias("payload_digest")
     )
-    firsts = (
+    firsts = written(
         rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
     )
     later = (F.col("first").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(firsts, "payload_digest", "left").select(
+    return rows.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_DIGESTS else firsts, "payload_digest", "left").select(
         "page_id", "url", F.when(~later, F.encode("payload", "UTF-8")).alias("payload"), "payload_bytes", "payload_digest",
         F.when(later, "revisit").otherwise("response").alias("record_type"), F.when(later, F.col("first")).alias("refers_to"),
     )
 
 
 def archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """``name string, records long, archive binary``: the rows of :func:`with_revisits` as .warc.zst files of bounded size."""
+    """``name string, records long, dictionary_bytes long, archive binary``: the rows of :func:`with_revisits` as .warc.zst files of bounded size.
+
+    Records are written in the order in which a task reads them, repeated ones each; an archive ends once it has ``archive_bytes``, so a very long payload makes one
+    larger archive, in one task's memory. An archive too small for a dictionary has 0 as its size. An empty table gives no archive.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, made, part = [], 0, 0, TaskContext.get().partitionId()
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{made:06d}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([write_archive(held)], pa.binary())], ["name", "records", "archive"])
+            data, size = write_archive(held)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f"part-{part:06d}-{made:06d}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["name", "records", "dictionary_bytes", "archive"]
+            )
 
         for batch in batches:
             for piece in slices(batch, "payload"):
@@ -146,7 +169,7 @@ def archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
         if held:
             yield done()
 
-    return rows.mapInArrow(run, "name string, records long, archive binary")
+    return rows.mapInArrow(run, "name string, records long, dictionary_bytes long, archive binary")
 
 
 def read(stored: DataFrame) -> DataFrame:
