@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernspark.llm.common import written
+from fernspark.llm.common import discard, written
 
 CALL = "conv_id long, turn long, index int, call_id string, name string, arguments string, after array<string>"
 RESULT = "conv_id long, turn long, call_id string, content string"
 #: A call's place in its conversation is turn * PLACES + index.
 PLACES = 1 << 20
+#: Calls and needs of a conversation that is sorted within one row; larger ones are sorted by joins.
+MOST_SORTED = 2048
 #: Properties of all schemas together; they become one expression.
 MOST_CHECKS = 5000
 
@@ -100,22 +102,61 @@ def violations(schema: dict, value: Column, place: str = "arguments") -> list[Co
     return found
 
 
-def topological(edges: DataFrame, calls: DataFrame) -> DataFrame:
-    """``call_id, level long`` of calls by the length of the longest chain of calls that they need; null in and behind a cycle.
+def order_keys(edges: DataFrame, calls: DataFrame, most_sorted: int = MOST_SORTED) -> DataFrame:
+    """``key, order_key long`` of ``calls`` (``key, place``): the least numbers that are at least a call's place and greater than those of all calls that it needs; null in and behind a cycle.
 
-    ``edges``: ``call_id, pre`` among ``calls``. A round per level: calls of which every needed one has its level get the next.
+    ``edges``: ``key, pre`` among ``calls``, both structs of conversation and identifier. Conversations of at most ``most_sorted`` calls and needs are sorted each in a row of arrays, by passes that stop when
+    nothing changes, so a chain of any form costs no job of its own; larger ones by a round of joins per call of the longest chain.
     """
-    done = written(calls.join(edges, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")))
-    left, level = edges, 0
+    size = calls.select("key.conv_id").unionByName(edges.select("key.conv_id")).groupBy("conv_id").agg(F.count("*").alias("n"))
+    size = size.select(F.struct("conv_id").alias("conv"), (F.col("n") <= most_sorted).alias("small"))
+    sized = written(calls.withColumn("conv", F.struct("key.conv_id")).join(size, "conv"))
+    linked = written(edges.withColumn("conv", F.struct("key.conv_id")).join(size, "conv"))
+    small = _sorted_in_rows(linked.where("small"), sized.where("small"))
+    large = sized.where("not small").select("key", "place")
+    if large.isEmpty():
+        return small
+    return small.unionByName(_sorted_by_joins(linked.where("not small").select("key", "pre"), large))
+
+
+def _sorted_in_rows(edges: DataFrame, calls: DataFrame) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("conv").orderBy("place", "key")).alias("at")
+    numbered = calls.select("conv", "key", "place", at)
+    needs = edges.select("key", "pre").join(numbered.select(F.col("key").alias("pre"), F.col("at").alias("pre_at")), "pre").groupBy("key").agg(F.collect_list("pre_at").alias("pres"))
+    each = numbered.join(needs, "key", "left").select("conv", F.struct("at", "key", "place", F.coalesce("pres", F.array().cast("array<int>")).alias("pres")).alias("c"))
+    rows = each.groupBy("conv").agg(F.array_sort(F.collect_list("c")).alias("calls"))
+    calls_of = F.col("calls")
+
+    def again(state: Column, _: Column) -> Column:
+        """One pass: calls whose needs all have a key get theirs; the state stays as it is once a pass has changed nothing."""
+        keys = state["keys"]
+        get = lambda n: F.get(keys, n - 1)
+        ready = lambda c: F.forall(c["pres"], lambda n: get(n).isNotNull())
+        new = F.transform(calls_of, lambda c, i: F.coalesce(F.get(keys, i), F.when(ready(c), F.greatest(c["place"], F.coalesce(F.array_max(F.transform(c["pres"], get)) + 1, c["place"])))))
+        left = F.size(F.filter(new, lambda k: k.isNull()))
+        return F.when(state["done"], state).otherwise(F.struct(new.alias("keys"), ((left == 0) | (left == state["left"])).alias("done"), left.alias("left")))
+
+    none = F.transform(calls_of, lambda _: F.lit(None).cast("long"))
+    start = F.struct(none.alias("keys"), F.lit(False).alias("done"), F.size(calls_of).alias("left"))
+    solved = rows.select("calls", F.aggregate(F.sequence(F.lit(1), F.size(calls_of)), start, again)["keys"].alias("keys"))
+    return solved.select(F.explode(F.arrays_zip("calls", "keys")).alias("x")).select("x.calls.key", F.col("x.keys").alias("order_key"))
+
+
+def _sorted_by_joins(edges: DataFrame, calls: DataFrame) -> DataFrame:
+    """A round per call of the longest chain: calls of which every needed one has its key get theirs."""
+    done = written(calls.join(edges.select("key"), "key", "left_anti").select("key", F.col("place").alias("order_key")))
+    left = written(edges.join(calls, "key"))
     while True:
-        level += 1
-        left = written(left.join(done.select(F.col("call_id").alias("pre"), F.lit(True).alias("ok")), "pre", "left"))
-        waits = left.groupBy("call_id").agg(F.min(F.coalesce("ok", F.lit(False))).alias("ready"))
-        new = written(waits.where("ready").select("call_id", F.lit(level).cast("long").alias("level")).join(done, "call_id", "left_anti"))
+        known = left.join(done.select(F.col("key").alias("pre"), "order_key"), "pre", "left")
+        ready = known.groupBy("key", "place").agg(F.max("order_key").alias("most"), F.count_if(F.col("order_key").isNull()).alias("open")).where("open = 0")
+        new = written(ready.select("key", F.greatest(F.col("most") + 1, "place").alias("order_key")))
         if new.isEmpty():
-            return calls.select("call_id").join(done, "call_id", "left")
-        left = left.join(new, "call_id", "left_anti").select("call_id", "pre")
-        done = written(done.unionByName(new))
+            discard(new), discard(left)
+            return calls.select("key").join(done, "key", "left")
+        old = done, left
+        left, done = written(left.join(new.select("key"), "key", "left_anti")), written(done.unionByName(new))
+        for df in (*old, new):
+            discard(df)
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -126,13 +167,13 @@ def _keyed(df: DataFrame) -> DataFrame:
 def further(calls: DataFrame, results: DataFrame) -> DataFrame:
     """``key, conv_id, call_id, turn, content, status`` of every result but the first of its conversation and identifier, copies too: ``extra`` where a call has them, else ``orphan``.
 
-    Both tables have ``key``. Only identifiers with several results are looked at again; equal results are counted, not gathered.
+    Both tables have ``key``, results ``digest``. Only identifiers with several results are looked at again; equal results are counted, not gathered.
     """
     keys = calls.select("key", F.lit(0).alias("n"), F.lit(True).alias("called")).unionByName(results.select("key", F.lit(1).alias("n"), F.lit(False).alias("called")))
     again = written(keys.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.max("called").alias("called")).where("n > 1").select("key", "called"))
-    each = results.join(again, "key").groupBy("key", "called", "turn", "content").agg(F.count("*").alias("n"))
-    first = each.groupBy("key").agg(F.min(F.struct("turn", "content")).alias("first"))
-    left = each.join(first, "key").withColumn("n", F.col("n") - F.struct("turn", "content").eqNullSafe(F.col("first")).cast("long")).where("n > 0")
+    each = results.join(again, "key").groupBy("key", "called", "turn", "digest", "content").agg(F.count("*").alias("n"))
+    first = each.groupBy("key").agg(F.min(F.struct("turn", "digest")).alias("first"))
+    left = each.join(first, "key").withColumn("n", F.col("n") - F.struct("turn", "digest").eqNullSafe(F.col("first")).cast("long")).where("n > 0")
     return left.select("key", "key.conv_id", "key.call_id", "turn", "content", F.when(F.col("called"), "extra").otherwise("orphan").alias("status"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).drop("copy")
 
 
@@ -143,28 +184,31 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, extr
     conversation is one too. Returns a row per call, one per result without a call and, with ``extras``, one per further result of a call:
     ``conv_id, call_id, name, turn, result_turn, status, order_key, missing_after, valid, errors, json``.
 
-    * status: ``linked`` (the first result by turn, then content), ``early`` (that result isn't after the call), ``pending`` (no result), ``duplicate`` (an earlier call of the conversation has the
+    * status: ``linked`` (the first result by turn, then a digest of the content), ``early`` (that result isn't after the call), ``pending`` (no result), ``duplicate`` (an earlier call of the conversation has the
       identifier; the first by place, then name and a digest of the arguments is the one; exact repeats of it are duplicates nowhere and link alike), ``extra`` (a result of a call that has
       an earlier one), ``orphan`` (a result without a call), ``unnamed`` (a null identifier).
-    * order_key: smaller for a call than for any that needs it. Where every call needs only earlier ones this is the call's place,
-      ``turn * 2^20 + index``; conversations where a call needs a later one are sorted by levels, and calls in or behind a cycle have null.
+    * order_key: smaller for a call than for any that needs it: the least number that is at least the call's place, ``turn * 2^20 + index``, and greater than
+      those of all calls that it needs. So it is the place itself unless a call needs a later one; calls in or behind a cycle have null, and so have calls
+      without a turn or an index. A duplicate or unnamed call has its own place, as it is none that others could need.
       ``missing_after`` counts what this call needs that its conversation doesn't have.
     * valid, errors: arguments that aren't a JSON object, a tool without a schema and each broken keyword are named, joined by '; '; valid is their absence.
     * json: an object of arguments, id, name and result with sorted keys and no blanks, null members left out; arguments that don't parse are left out too.
 
-    Conversations' identifiers are reduced to one row each, with partial aggregation, before the hash join, so copies don't multiply; the calls' side of a crowded
-    identifier is split by the join's skew handling. Empty tables give an empty table.
+    Conversations' identifiers are reduced to one row each, with partial aggregation, before the hash join, so copies don't multiply; its hash tables hold places and
+    digests, and results' contents come by a join that can spill. The calls' side of a crowded identifier is split by the join's skew handling. Very long
+    arguments and results pass through whole. Empty tables give an empty table.
     """
     if sum(len(json.dumps(s)) for s in schemas.values()) > 100 * MOST_CHECKS:
         raise ValueError("too many schemas for one expression")
     calls = _keyed(calls.select(*[F.col(c.split()[0]) for c in CALL.split(", ")]).withColumn("place", F.col("turn") * PLACES + F.col("index")).withColumn("needs", F.struct("place", F.xxhash64("after").alias("after"))))
-    results = _keyed(results.select(*[F.col(c.split()[0]) for c in RESULT.split(", ")]))
+    results = _keyed(results.select(*[F.col(c.split()[0]) for c in RESULT.split(", ")]).withColumn("digest", F.md5("content")))
     who = F.struct("place", "name", F.md5("arguments").alias("arguments"))
     ids = (
-        calls.where("key is not null").select("key", who.alias("first"), F.lit(None).cast("struct<turn:bigint,content:string>").alias("result"))
-        .unionByName(results.where("key is not null").select("key", F.struct("turn", "content").alias("result")), allowMissingColumns=True)
+        calls.where("key is not null").select("key", who.alias("first"), F.lit(None).cast("struct<turn:bigint,digest:string>").alias("result"))
+        .unionByName(results.where("key is not null").select("key", F.struct("turn", "digest").alias("result")), allowMissingColumns=True)
         .groupBy("key").agg(F.min("first").alias("first"), F.min("result").alias("result"))
     )
+    contents = results.where("key is not null").groupBy("key").agg(F.min_by("content", F.struct("turn", "digest")).alias("content"))
     edges = calls.where("key is not null and size(after) > 0").select("conv_id", "key", "place", "needs", F.explode(F.array_distinct("after")).alias("pre"))
     edges = edges.withColumn("pre", F.struct("conv_id", F.col("pre").alias("call_id"))).distinct()
     known = ids.where("first is not null").select(F.col("key").alias("pre"), F.col("first.place").alias("pre_place"))
@@ -172,13 +216,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, extr
     missing = edges.where("pre_place is null").groupBy("key", "needs").agg(F.count("*").alias("missing_after"))
     tangled = edges.where("pre_place >= place").select(F.struct("conv_id").alias("conv")).distinct()
 
-    keyed = calls.join(ids.hint("shuffle_hash"), "key", "left").join(missing, ["key", "needs"], "left")
+    keyed = calls.join(ids.hint("shuffle_hash"), "key", "left").join(contents, "key", "left").join(missing, ["key", "needs"], "left")
+    own = F.col("call_id").isNotNull() & who.eqNullSafe(F.col("first"))
     if tangled.isEmpty():
         keyed = keyed.withColumn("order_key", F.col("place"))
     else:
-        inner = calls.where("key is not null").withColumn("conv", F.struct("conv_id")).join(tangled, "conv", "left_semi").select(F.col("key").alias("call_id")).distinct()
-        levels = topological(edges.where("pre_place is not null").select(F.col("key").alias("call_id"), "pre").distinct().join(inner, "call_id", "left_semi"), inner)
-        keyed = keyed.join(levels.select(F.col("call_id").alias("key"), "level", F.lit(True).alias("by_level")), "key", "left").withColumn("order_key", F.when(F.col("by_level"), F.col("level")).otherwise(F.col("place")))
+        inner = written(ids.where("first is not null").select("key", F.col("first.place").alias("place")).withColumn("conv", F.struct("key.conv_id")).join(tangled, "conv", "left_semi").select("key", "place"))
+        needed = edges.where("pre_place is not null").join(ids.select("key", "first"), "key").where(F.col("place").eqNullSafe(F.col("first.place"))).select("key", "pre").distinct()
+        keys = order_keys(needed.join(inner.select("key"), "key", "left_semi"), inner)
+        keyed = keyed.join(keys.withColumn("sorted", F.lit(True)), "key", "left").withColumn("order_key", F.when(F.col("sorted") & own, F.col("order_key")).otherwise(F.col("place")))
 
     v = F.col("v")
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
@@ -186,18 +232,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, extr
     for name, schema in sorted(schemas.items()):
         parts += [F.when(is_object & (F.col("name") == name), x) for x in violations(schema, v)]
     checked = keyed.withColumn("v", F.try_parse_json("arguments")).withColumn("errors", F.array_join(F.array_compact(F.array(*parts)), "; "))
-    own = F.col("call_id").isNotNull() & who.eqNullSafe(F.col("first"))
     status = (
         F.when(F.col("call_id").isNull(), "unnamed").when(~own, "duplicate").when(F.col("result").isNull(), "pending")
         .when(F.col("result.turn") <= F.col("turn"), "early").otherwise("linked")
     )
-    gets = F.when(own, F.col("result"))
     out = checked.select(
         "conv_id", "call_id", "name", "turn", F.when(own, F.col("result.turn")).alias("result_turn"), status.alias("status"), "order_key", F.coalesce("missing_after", F.lit(0)).cast("long").alias("missing_after"),
         (F.col("errors") == "").alias("valid"), "errors",
-        F.to_json(F.struct(v.alias("arguments"), F.col("call_id").alias("id"), "name", F.when(own, gets["content"]).alias("result"))).alias("json"),
+        F.to_json(F.struct(v.alias("arguments"), F.col("call_id").alias("id"), "name", F.when(own, F.col("content")).alias("result"))).alias("json"),
     )
-    lone = ids.where("first is null").select("key.call_id", F.col("result.turn").alias("turn"), F.col("result.content").alias("content"), "key.conv_id", F.lit("orphan").alias("status"))
+    lone = ids.where("first is null").join(contents, "key").select("key.call_id", F.col("result.turn").alias("turn"), "content", "key.conv_id", F.lit("orphan").alias("status"))
     spare = further(calls, results).drop("key")
     lone = lone.unionByName(spare if extras else spare.where("status = 'orphan'"))
     lone = lone.unionByName(results.where("call_id is null").select("call_id", "turn", "content", "conv_id", F.lit("unnamed").alias("status")))
