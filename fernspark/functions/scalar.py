@@ -11,8 +11,8 @@ from fernspark import schema
 
 #: The bytes of the UUID namespace for object identifiers, and the four variant digits.
 OID_NAMESPACE, VARIANTS = "6ba7b8129dad11d180b400c04fd430c8", "89ab89ab89ab89ab"
-#: Words that can't name a column or table.
-RESERVED = ("select", "from", "where", "table", "insert", "update", "delete", "drop", "create", "order", "group", "by", "and", "or", "not", "null", "join", "union")
+#: Words that can't name a column or table.
+RESERVED = ("SELECT", "FROM", "WHERE", "INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "TABLE", "INDEX", "ALTER", "ADD", "COLUMN", "AND", "OR", "NOT", "NULL", "TRUE", "FALSE")
 
 
 def col(c: str | Column) -> Column:
@@ -79,8 +79,8 @@ def column_name_plain(name: str | Column) -> Column:
 
 
 def is_identifier(name: str | Column) -> Column:
-    """Whether a name can stand in SQL unquoted: ASCII letters, digits and ``_``, not first a digit, at most 63 long and no reserved word."""
-    return F.coalesce(col(name).rlike("^[A-Za-z_][A-Za-z0-9_]{0,62}$") & ~F.lower(col(name)).isin(*RESERVED), F.lit(False))
+    """Whether a name can stand in SQL unquoted: ASCII letters, digits, ``_`` and ``$``, the first a letter or ``_``, at most 63 long and no reserved word."""
+    return F.coalesce(col(name).rlike(r"\A[A-Za-z_][A-Za-z0-9_$]{0,62}\z") & ~F.upper(col(name)).isin(*RESERVED), F.lit(False))
 
 
 def quoted(text: str | Column) -> Column:

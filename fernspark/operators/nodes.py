@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import Any
 
 import pandas as pd
@@ -63,15 +64,16 @@ def html_to_markdown(df: DataFrame) -> DataFrame:
 def _exploded(df: DataFrame, split: Callable[[str, str | None], list[str]], *, offsets: bool = False) -> DataFrame:
     """A node per chunk; size, metadata and the rest are the parent's. Rows with an error pass as they are; a failure to split is an error row."""
 
-    @F.pandas_udf("struct<parts:array<string>,error:string>")
+    @F.pandas_udf("struct<parts:array<string>,starts:array<bigint>,error:string>")
     def run(texts: pd.Series, paths: pd.Series) -> pd.DataFrame:
         out = []
         for t, p in zip(texts, paths, strict=True):
             try:
-                out.append((split(t, p) if t else [], None))
+                parts = split(t, p) if t else []
+                out.append((parts, list(accumulate((len(x.encode()) for x in parts[:-1]), initial=0)) if offsets else [], None))
             except Exception as e:  # noqa: BLE001
-                out.append(([], f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["parts", "error"])
+                out.append(([], [], f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["parts", "starts", "error"])
 
     cols = df.columns
     done = df.withColumn("_done", F.when(F.col("error").isNull(), run("chunk", "path")))
@@ -79,8 +81,7 @@ def _exploded(df: DataFrame, split: Callable[[str, str | None], list[str]], *, o
     # A row with an error keeps one node; a text without chunks has none.
     parts = F.when(failed.isNotNull(), F.array("chunk")).otherwise(F.col("_done.parts"))
     if offsets:
-        ends = F.aggregate(parts, F.array(F.lit(0).cast("bigint")), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.coalesce(F.octet_length(p), F.lit(0)).cast("bigint"))))
-        done = done.withColumn("_starts", F.when(failed.isNull(), ends))
+        done = done.withColumn("_starts", F.when(failed.isNull(), F.col("_done.starts")))
     out = done.withColumn("error", failed).select("*", F.posexplode(parts).alias("_k", "_part")).withColumn("chunk", F.col("_part"))
     if offsets:
         out = out.withColumn("offset", F.coalesce(F.col("_starts")[F.col("_k")], F.col("offset")))

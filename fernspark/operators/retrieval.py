@@ -19,6 +19,8 @@ DEFAULT_TOP_K = 10
 BROADCAST_QUERIES, BROADCAST_VALUES = 1024, 1 << 20
 #: Corpus rows of a shard and queries of a block in the other way.
 SHARD, BLOCK = 65_536, 1024
+#: Distinct words of queries that are broadcast.
+BROADCAST_TERMS = 200_000
 #: Okapi BM25's usual constants, and the constant of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -104,8 +106,31 @@ def ranked(found: DataFrame, k: int, *, key: str = "id", larger: bool = True, sc
     return found.withColumn(rank, F.row_number().over(Window.partitionBy("qid").orderBy(order, key))).where(F.col(rank) <= k)
 
 
-def _dealt(corpus: DataFrame, queries: DataFrame, n: int, n_queries: int, k: int, metric: str, larger: bool) -> DataFrame:
-    """Shards of the corpus against blocks of queries, a bounded task each, which keeps its best ``k`` per query."""
+def _scores(m: np.ndarray, norms: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of the columns of ``m`` to ``v``, summed component by component as the Column expressions do; NaN where these give null."""
+
+    def total(f: Callable[[int], np.ndarray]) -> np.ndarray:
+        out = np.zeros(m.shape[1])
+        for i in range(len(v)):
+            out += f(i)
+        return out
+
+    if metric == "l2":
+        return np.sqrt(total(lambda i: (m[i] - v[i]) * (m[i] - v[i])))
+    score = total(lambda i: m[i] * v[i])
+    if metric == "dot":
+        return score
+    own = 0.0
+    for x in v.tolist():
+        own += x * x
+    with np.errstate(invalid="ignore", divide="ignore"):
+        below = np.sqrt(norms * own)
+        score = np.where(below == 0, np.nan, score / below)
+    return 1.0 - score if metric == "cosine_distance" else score
+
+
+def _dealt(corpus: DataFrame, queries: DataFrame, n: int, n_queries: int, k: int, metric: str, larger: bool, slack: float) -> DataFrame:
+    """Shards of the corpus against blocks of queries, a bounded task each, which keeps its best ``k`` per query and what is within ``slack`` of them."""
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = corpus.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"), every(blocks).alias("b"), F.lit(None).cast("bigint").alias("qid"), "id", "v")
@@ -117,46 +142,50 @@ def _dealt(corpus: DataFrame, queries: DataFrame, n: int, n_queries: int, k: int
         rows = [np.array(x, np.float64) for x in cell.column("v").to_pylist()]
         docs, asks = np.flatnonzero(~is_query), np.flatnonzero(is_query)
         q, d, s = [], [], []
-        if len(docs):
-            m = np.stack([rows[i] for i in docs])
-            norm = np.sqrt((m * m).sum(axis=1))
-            for i in asks:
-                v = rows[i]
-                if metric == "l2":
-                    score = np.sqrt(((m - v) ** 2).sum(axis=1))
-                else:
-                    score = m @ v
-                    if metric != "dot":
-                        with np.errstate(invalid="ignore", divide="ignore"):
-                            score = score / (norm * np.sqrt(v @ v))
-                        score = 1 - score if metric == "cosine_distance" else score
-                sign = -score if larger else score
-                sign = np.where(np.isnan(sign), np.inf, sign)
-                edge = np.partition(sign, min(k, len(sign)) - 1)[min(k, len(sign)) - 1]
-                keep = np.flatnonzero(sign <= edge)  # ties at the edge are settled by id later
-                q += [i] * len(keep)
-                d += docs[keep].tolist()
-                s += score[keep].tolist()
+        by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in {len(rows[i]) for i in docs}:
+            of = np.flatnonzero([len(rows[i]) == size for i in docs])
+            m = np.ascontiguousarray(np.stack([rows[docs[i]] for i in of]).T)
+            norms = np.zeros(len(of))
+            for x in m:
+                norms += x * x
+            by_size[size] = of, m, norms
+        for i in asks if len(docs) else ():
+            score = np.full(len(docs), np.nan)  # of vectors of another length too
+            if len(rows[i]) in by_size:
+                of, m, norms = by_size[len(rows[i])]
+                score[of] = _scores(m, norms, rows[i], metric)
+            sign = -score if larger else score
+            sign = np.where(np.isnan(sign), np.inf, sign)
+            edge = np.partition(sign, min(k, len(sign)) - 1)[min(k, len(sign)) - 1]
+            keep = np.flatnonzero(sign <= edge + slack)  # ties at the edge, also those that rounding makes, are settled by id later
+            q += [i] * len(keep)
+            d += docs[keep].tolist()
+            s += score[keep].tolist()
         return pa.table({"qid": cell.column("qid").take(pa.array(q, pa.int64())), "id": cell.column("id").take(pa.array(d, pa.int64())), "score": pa.array(s, pa.float64(), from_pandas=True)})
 
     return left.unionByName(right).groupBy("s", "b").applyInArrow(run, f"qid bigint, id {id_type}, score double")
 
 
-def similarity(corpus: DataFrame, queries: DataFrame, strategy: SimilaritySingleEmbedding | None = None, *, key: str = "id", vector: str = "embedding", query_vector: str = "embedding", digits: int | None = None) -> DataFrame:
+def similarity(
+    corpus: DataFrame, queries: DataFrame, strategy: SimilaritySingleEmbedding | None = None, *, key: str = "id", vector: str = "embedding", query_vector: str = "embedding", digits: int | None = None,
+    broadcast_queries: int | None = None,
+) -> DataFrame:
     """``qid, <key>, score, rank``: the nearest rows of ``corpus`` to each of ``queries`` (``qid`` and a vector), exactly.
 
-    The filter comes before the ranking. Few queries are broadcast after a count; many are dealt to blocks against shards of the corpus.
-    Rows without a vector take no part; equal scores go to the smaller key.
+    The filter comes before the ranking. Few queries, by default up to ``BROADCAST_QUERIES``, are broadcast after a count; many are dealt to blocks against shards of the corpus;
+    both ways give the same scores. Rows without a vector take no part; vectors of unequal length, and a zero vector by cosine, have a null score, which ranks last. With
+    ``digits`` scores are rounded before they are ranked. Equal scores go to the smaller key.
     """
     strategy = strategy or SimilaritySingleEmbedding()
     measure, larger = METRICS[strategy.metric]
     docs = _filtered(corpus, strategy.filter).select(F.col(key).alias("id"), F.col(vector).alias("v")).where("v is not null")
     asked = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col(query_vector).alias("v")).where("v is not null")
     n, values = asked.agg(F.count("*"), F.sum(F.size("v"))).first()
-    if n <= BROADCAST_QUERIES and (values or 0) <= BROADCAST_VALUES:
+    if n <= (BROADCAST_QUERIES if broadcast_queries is None else broadcast_queries) and (values or 0) <= BROADCAST_VALUES:
         found = docs.crossJoin(F.broadcast(asked.withColumnRenamed("v", "q"))).select("qid", "id", measure("v", "q").alias("score"))
     else:
-        found = _dealt(docs, asked, docs.count(), n, strategy.top_k, strategy.metric, larger)
+        found = _dealt(docs, asked, docs.count(), n, strategy.top_k, strategy.metric, larger, 10.0**-digits if digits is not None else 0.0)
     if digits is not None:
         found = found.withColumn("score", F.round("score", digits))
     return ranked(found, strategy.top_k, larger=larger).withColumnRenamed("id", key)
@@ -178,27 +207,64 @@ def words(text: str | Column) -> Column:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """An inverted index: ``postings`` (term, id, tf, dl), ``terms`` (term, df), and the corpus's size."""
+    """A full-text index of a corpus: ``rows`` (``id, w``, the words of each), or ``postings`` (``term, id, tf, dl``) that were saved; and the corpus's size.
 
-    postings: DataFrame
-    terms: DataFrame
+    ``split`` makes words of a text: :func:`words` by default, so a stemmer or other languages come in there; ``stop`` are words that don't count.
+    """
+
+    rows: DataFrame | None
     count: int
     average: float
+    split: Callable[[str | Column], Column] = words
+    stop: tuple[str, ...] = ()
+    postings: DataFrame | None = None
 
     @staticmethod
-    def of(corpus: DataFrame, *, key: str = "id", text: str = "chunk") -> TextIndex:
-        rows = corpus.select(F.col(key).alias("id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    def of(corpus: DataFrame, *, key: str = "id", text: str = "chunk", split: Callable[[str | Column], Column] = words, stop: tuple[str, ...] = ()) -> TextIndex:
+        index = TextIndex(None, 0, 0.0, split, stop)
+        rows = corpus.select(F.col(key).alias("id"), index._words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
         n, total = rows.agg(F.count("*"), F.sum(F.size("w"))).first()
-        postings = rows.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-        return TextIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), n, (total or 0) / n if n else 0.0)
+        return TextIndex(rows, n, (total or 0) / n if n else 0.0, split, stop)
+
+    def _words(self, text: str | Column) -> Column:
+        found = self.split(text)
+        return F.filter(found, lambda w: ~w.isin(*self.stop)) if self.stop else found
+
+    def _all_postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """Of ``terms`` (``term``), or of all; those of other terms go before anything is shuffled if the terms are broadcast."""
+        each = self.rows.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+        if terms is not None:
+            each = each.join(terms, "term", "left_semi")
+        return each.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+
+    def save(self, path: str) -> TextIndex:
+        """Writes the postings in the order of their terms, so that a search reads only the parts with its words; gives the index that reads them."""
+        self._all_postings().repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        spark = self.rows.sparkSession
+        spark.createDataFrame([(self.count, self.average)], "count long, average double").coalesce(1).write.parquet(f"{path}/size")
+        return TextIndex.load(spark, path, split=self.split, stop=self.stop)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, *, split: Callable[[str | Column], Column] = words, stop: tuple[str, ...] = ()) -> TextIndex:
+        n, average = spark.read.parquet(f"{path}/size").first()
+        return TextIndex(None, n, average, split, stop, spark.read.parquet(f"{path}/postings"))
 
     def scores(self, queries: DataFrame, text: str = "current") -> DataFrame:
-        """BM25 of every row that has one of a query's distinct words: ``qid, id, score``."""
-        asked = queries.select("qid", F.explode(F.array_distinct(words(text))).alias("term"))
-        hits = self.postings.join(asked, "term").join(self.terms, "term")
+        """BM25 of every row that has one of a query's distinct words: ``qid, id, score``.
+
+        The queries' distinct words are broadcast after a count, up to ``BROADCAST_TERMS``; only their postings are made and shuffled, and a word's number of rows is counted in them.
+        """
+        asked = queries.select("qid", F.explode(F.array_distinct(self._words(text))).alias("term"))
+        terms = asked.select("term").distinct()
+        if few := terms.count() <= BROADCAST_TERMS:
+            terms = F.broadcast(terms)
+        hits = self.postings.join(terms, "term", "left_semi") if self.postings is not None else self._all_postings(terms)
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
         idf = F.log(F.lit(1.0) + (F.lit(float(self.count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.average or 1.0)))
-        return hits.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+        weights = df.select("term", idf.alias("idf"))
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.average or 1.0)))
+        scored = hits.join(F.broadcast(weights) if few else weights, "term").select("id", "term", part.alias("part"))
+        return scored.join(asked, "term").groupBy("qid", "id").agg(F.sum("part").alias("score"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, *, key: str = "id", text: str = "chunk", query_text: str = "current") -> DataFrame:

@@ -6,13 +6,19 @@ import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernspark import schema
 from fernspark.functions import scalar
 
 
+#: The column that names a row's folder in a sink's table.
+PART = "_part"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
@@ -23,19 +29,6 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Replaces a table that ``df`` may read: written beside it, then renamed."""
-    spark = df.sparkSession
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    P = spark._jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if fs.exists(P(path)):
-        fs.rename(P(path), P(old))
-    fs.rename(P(new), P(path))
-    fs.delete(P(old), True)
-
-
 def first_wins(df: DataFrame, key: str = "id", order: tuple[Column, ...] = ()) -> DataFrame:
     """One row per key: the first by ``order``, then by all that can be ordered."""
     rest = [F.col(f.name) for f in df.schema if f.dataType.typeName() not in ("map", "variant") and f.name != key and "map<" not in f.dataType.simpleString()]
@@ -92,6 +85,9 @@ class ParquetSink:
 
     ``vectors`` maps embedded fields to their lengths, and only these are stored; ``metadata`` names keys that become columns
     (``meta_<name>``). ``missing``: what a row without a configured vector or key is: ``error``, ``empty`` or ``null``.
+
+    Rows lie in ``parts`` folders by a hash of their id, a number that a table keeps from its first write. An upsert rewrites only the folders that its rows touch, from a copy written
+    beside the table; a reader always finds a table, and a run that fails midway is mended by running it again, as writes are by id.
     """
 
     path: str
@@ -100,6 +96,7 @@ class ParquetSink:
     sparse: tuple[str, ...] = ()
     metadata: tuple[str, ...] = ()
     missing: str = "null"
+    parts: int = 64
 
     def with_vector(self, name: str = schema.COMBINED, size: int | None = None) -> ParquetSink:
         self.vectors[name] = size
@@ -137,21 +134,51 @@ class ParquetSink:
         return F.coalesce(value, empty) if self.missing == "empty" else value
 
     def read(self, spark: SparkSession) -> DataFrame | None:
-        return spark.read.parquet(self.path) if exists(spark, self.path) else None
+        table = self._stored(spark)
+        return None if table is None else table.drop(PART)
+
+    def _stored(self, spark: SparkSession) -> DataFrame | None:
+        if not exists(spark, f"{self.path}/_parts"):
+            return None
+        try:
+            return spark.read.option("mergeSchema", "true").parquet(self.path)
+        except AnalysisException:  # no row has been written yet
+            return None
 
     def store(self, df: DataFrame) -> int:
-        spark, new = df.sparkSession, self.shaped(df)
-        table = self.read(spark)
-        before = table.count() if table is not None else 0
+        """Stores the rows and tells how many were written; they are counted as they are written."""
+        spark, table = df.sparkSession, self._stored(df.sparkSession)
+        if table is None:  # Spark doesn't read names that begin with an underscore as data
+            spark.createDataFrame([(self.parts,)], "parts int").coalesce(1).write.mode("ignore").parquet(f"{self.path}/_parts")
+        parts = spark.read.parquet(f"{self.path}/_parts").first()[0]
+        new = self.shaped(df)
+        new = new.withColumn(PART, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
         if self.mode == "append":
-            new.write.mode("append").parquet(self.path)
-        elif self.mode == "insert":
-            insert_if_absent(table, new).write.mode("append").parquet(self.path)
-        else:
-            count = first_wins(new.select("id")).count()
-            swap(upsert(table, new), self.path)
-            return count
-        return spark.read.parquet(self.path).count() - before
+            return self._write(new, "append", parts)
+        if self.mode == "insert":
+            return self._write(insert_if_absent(table, new), "append", parts)
+        aside = f"{self.path}.new-{uuid.uuid4().hex}"
+        rows = first_wins(new)
+        if table is None:
+            return self._write(rows, "append", parts)
+        try:
+            rows.write.parquet(f"{aside}/rows")
+            rows = spark.read.schema(rows.schema).parquet(f"{aside}/rows")
+            touched = [r[0] for r in rows.select(PART).distinct().collect()]  # at most ``parts``
+            upsert(table.where(F.col(PART).isin(touched)), rows).repartition(max(1, min(len(touched), parts)), PART).write.partitionBy(PART).parquet(f"{aside}/table")
+            if touched:
+                spark.read.parquet(f"{aside}/table").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
+            return rows.count()
+        finally:
+            delete(spark, aside)
+
+    def _write(self, df: DataFrame, mode: str, parts: int) -> int:
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).repartition(parts, PART).write.mode(mode).partitionBy(PART).parquet(self.path)
+        try:
+            return seen.get["n"]
+        except Py4JJavaError:  # a plan that turned out empty is cut down to nothing and reports no count
+            return 0
 
 
 def _plain(prefix: str, name: str) -> str:
@@ -211,7 +238,10 @@ class NodeCache:
         (new if known is None else new.join(known, "key", "left_anti")).write.mode("append").parquet(self.path)
 
     def filter(self, df: DataFrame) -> DataFrame:
-        """Nodes not cached, one per id, which are marked at once. Rows with an error stay. What is returned was fixed before the marking."""
+        """Nodes not cached, one per id, which are marked at once. Rows with an error stay. What is returned was fixed before the marking.
+
+        It is kept in memory and on disk until the caller unpersists it. A node counts as cached from now on, also if a later step fails; to run it again, clear the cache.
+        """
         known = self.ids(df.sparkSession)
         good = first_wins(df.where("error is null"))
         if known is not None:
@@ -229,6 +259,19 @@ def absent(df: DataFrame, cached: DataFrame, key: str = "id") -> DataFrame:
     return first_wins(df, key).join(cached.select(key), key, "left_anti")
 
 
+def swap(df: DataFrame, path: str) -> None:
+    """Replaces a table that ``df`` may read: written beside it, then renamed; between the two renames there is none for a moment."""
+    spark = df.sparkSession
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    P = spark._jvm.org.apache.hadoop.fs.Path
+    fs = P(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(P(path)):
+        fs.rename(P(path), P(old))
+    fs.rename(P(new), P(path))
+    fs.delete(P(old), True)
+
+
 def message_store(path: str, messages: DataFrame, *, overwrite: tuple[Any, ...] | None = None) -> None:
     """Appends messages to a history table, or replaces the given conversations."""
     spark = messages.sparkSession

@@ -297,7 +297,11 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.chunk_code("text", 1500)(document_nodes(spark, sf_dir)).select("id", "chunk", "offset")
+    """Every document as the comments of a Python class with two methods, in chunks by syntax."""
+    said = F.regexp_replace("text", r"(?m)^", "        # ")
+    code = F.concat(F.lit("class Document"), F.col("doc_id"), F.lit(":\n    def text(self):\n"), said, F.lit("\n        return "), F.col("n_chars"), F.lit("\n\n    def lang(self):\n        return '"), F.col("lang"), F.lit("'\n"))
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py"))).withColumn("code", code)
+    return N.chunk_code("python", 1500)(N.nodes(docs, path="path", chunk="code")).select("id", "path", "chunk", "offset")
 
 
 @query()
@@ -346,15 +350,15 @@ def normalize_field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", scalar.column_name_words(n).alias("words"), scalar.column_name_plain(n).alias("plain"))
 
 
-@query("SELECT doc_id, substr(text, 1, 20) || ' (' || length(text) || ')' AS shown, replace(substr(text, 1, 50), '''', '''''') AS quoted, regexp_matches(source, '^[A-Za-z_][A-Za-z0-9_]{0,62}$') AS identifier FROM documents")
+@query("SELECT doc_id, substr(text, 1, 20) || ' (' || length(text) || ')' AS shown, replace(text, '''', '''''') AS quoted, regexp_full_match(source, '[A-Za-z_][A-Za-z0-9_$]{0,62}') AS identifier FROM documents")
 def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", scalar.debug_text("text", 20).alias("shown"), scalar.quoted(F.substring("text", 1, 50)).alias("quoted"), scalar.is_identifier("source").alias("identifier"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalar.debug_text("text", 20).alias("shown"), scalar.quoted("text").alias("quoted"), scalar.is_identifier("source").alias("identifier"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 30) || chr(10) ELSE substr(text, 1, 30) END AS code FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || chr(10) ELSE text END AS code FROM documents")
 def fenced_code_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 30)
-    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```python\n"), head, F.lit("\n```\nthat's all"))).otherwise(head)
+    text = F.col("text")
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```python\n"), text, F.lit("\n```\nthat's all"))).otherwise(text)
     return table(spark, sf_dir, "documents").select("doc_id", scalar.fenced_code(said).alias("code"))
 
 

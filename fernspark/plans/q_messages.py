@@ -100,11 +100,11 @@ def stream_delta_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT conv_id, (turn % 2)::INT AS index, arg_min('id' || turn, turn) AS id, arg_min(role, turn) AS name, string_agg(substr(text, 1, 5), '' ORDER BY turn) AS args FROM conversations GROUP BY conv_id, turn % 2"
+    "SELECT conv_id, (turn % 2)::INT AS index, arg_min('id' || turn, turn) AS id, arg_min(role, turn) AS name, string_agg(text, '' ORDER BY turn) AS args FROM conversations GROUP BY conv_id, turn % 2"
 )
 def tool_call_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    d = c.select("conv_id", (F.col("turn") % 2).cast("int").alias("index"), F.col("turn").alias("seq"), F.concat(F.lit("id"), F.col("turn")).alias("id"), F.col("role").alias("name"), F.substring("text", 1, 5).alias("args"))
+    d = c.select("conv_id", (F.col("turn") % 2).cast("int").alias("index"), F.col("turn").alias("seq"), F.concat(F.lit("id"), F.col("turn")).alias("id"), F.col("role").alias("name"), F.col("text").alias("args"))
     return messages.joined_tool_calls(d)
 
 

@@ -211,6 +211,6 @@ def fan_out(df: DataFrame, branches: list[Callable[[DataFrame], DataFrame]]) ->
 
 
 def join_branches(rows: DataFrame, branches: int) -> DataFrame:
-    """Per task the payloads in the branches' order, once all branches have come: ``task_id, payloads``."""
+    """Per task the payloads in the branches' order, once all branches have come: ``task_id, payloads``. A branch's repeated payloads count once, its different ones each."""
     got = rows.groupBy("task_id").agg(F.array_sort(F.collect_set(F.struct("branch", "payload"))).alias("b"))
-    return got.where(F.size("b") >= branches).select("task_id", F.transform("b", lambda x: x["payload"]).alias("payloads"))
+    return got.where(F.size(F.array_distinct(F.transform("b", lambda x: x["branch"]))) >= branches).select("task_id", F.transform("b", lambda x: x["payload"]).alias("payloads"))
