@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,11 @@ from fernspark.llm.common import slices, written
 
 #: Pieces that one task packs. A group ends with about one sequence that isn't full, so larger groups waste less.
 GROUP_PIECES = 32768
-#: Words whose ids a Python worker keeps.
-KEPT_WORDS = 1_500_000
+#: Bytes of words and ids that a Python worker keeps, and what a word takes besides.
+KEPT_BYTES, WORD_BYTES = 288 << 20, 200
 MAX_TOKENIZER_BYTES = 64 << 20
 
-_loaded: dict[int, WordIds] = {}
+_loaded: dict[tuple[int, bool], WordIds] = {}
 
 
 class WordIds(dict):
@@ -28,13 +29,19 @@ class WordIds(dict):
 
     Words are what lies between spaces and line feeds. New words go through the whole tokenizer together, joined by
     spaces. If the tokenizer folds case, Latin-1 texts are folded before; if it takes a full stop or comma apart from letters,
-    a Latin word that ends with one takes the ids of both. What a tokenizer does is tried at the start.
+    a Latin word whose lower-case form is letters throughout takes the ids of both when it ends with one. What a tokenizer does is tried at the start.
+
+    When half of ``KEPT_BYTES`` is held, the words become the older ones, in place of those before; an older word that comes again is among the new ones again.
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, *, special_as_text: bool = False):
         super().__init__({"": b""})
+        self.held, self.older = 0, {}
         self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(c in t for t in self.special for c in " \n"):
+            raise ValueError("a special token with a blank")
         ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
         if ids("ab cd\nab") != ids("ab") + ids("cd") + ids("ab") or ids(" ") or ids("\n"):
             raise ValueError("this tokenizer doesn't handle words by themselves")
@@ -45,6 +52,10 @@ class WordIds(dict):
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
+    def keep(self, words: list[str], ids: list[bytes]) -> None:
+        self.update(zip(words, ids, strict=True))
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + WORD_BYTES * len(words)
+
     def encode(self, words: list[str]) -> None:
         """Learns words that are letters throughout, so one unit each to the tokenizer; any others if that turns out not to hold."""
         e = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
@@ -53,10 +64,8 @@ class WordIds(dict):
         if len(ends) != len(words) or len(ids) and ends[-1] != len(ids):
             self.encode_any(words)
             return
-        data, at = ids.tobytes(), 0
-        for w, end in zip(words, (4 * ends).tolist(), strict=True):
-            self[w] = data[at:end]
-            at = end
+        data, cut = ids.tobytes(), [0, *(4 * ends).tolist()]
+        self.keep(words, [data[a:b] for a, b in pairwise(cut)])
 
     def encode_any(self, words: list[str]) -> None:
         """Learns any words; offsets tell which ids are whose."""
@@ -64,50 +73,70 @@ class WordIds(dict):
         e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         data = np.array(e.ids, np.uint32).tobytes()
         edges = (4 * np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts)).tolist()
-        for w, a, b in zip(words, edges, edges[1:], strict=False):
-            self[w] = data[a:b]
+        self.keep(words, [data[a:b] for a, b in pairwise(edges)])
 
     def learn(self, words: set[str]) -> None:
-        plain, other, marked = set(), [], []
+        def latin(w: str) -> bool:
+            return w.isalpha() if w.isascii() else w.isalpha() and max(w) < "ɐ" and w.lower().isalpha()
+
+        if self.older:
+            again = [w for w in words if w in self.older]
+            self.keep(again, [self.older[w] for w in again])
+            words = words.difference(again)
+        plain, other, marked = [], [], []
         for w in words:
-            if w[-1] in self.marks and (w.isascii() or max(w) < "ɐ") and w[:-1].isalpha():
+            if w.isalpha() and (w.isascii() or latin(w)):
+                plain.append(w)
+            elif w[-1] in self.marks and latin(w[:-1]):
                 marked.append(w)
-                if w[:-1] not in self:
-                    plain.add(w[:-1])
-            elif w.isalpha() and (w.isascii() or max(w) < "ɐ"):
-                plain.add(w)
             else:
                 other.append(w)
-        for learned, some in ((self.encode, list(plain)), (self.encode_any, other)):
+        plain += {b for w in marked if (b := w[:-1]) not in self and b not in words}
+        for learned, some in ((self.encode, plain), (self.encode_any, other)):
             for k in range(0, len(some), 2000):
                 learned(some[k : k + 2000])
-        for w in marked:
-            self[w] = self[w[:-1]] + self.marks[w[-1]]
+        self.keep(marked, [self[w[:-1]] + self.marks[w[-1]] for w in marked])
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        if len(self) > KEPT_WORDS:
+        if self.held > KEPT_BYTES // 2:
+            self.older = dict(self)
             self.clear()
-            self[""] = b""
+            self[""], self.held = b"", 0
         words = []
         for t in texts:
             if self.folds:
                 try:
                     t.encode("latin-1")
-                    t = t.lower()
+                    folded = t.lower()
+                    if not any(s in folded for s in self.special):  # which folding could make
+                        t = folded
                 except UnicodeEncodeError:
                     pass
             words.append(t.replace("\n", " ").split(" "))
         found = [list(map(self.get, w)) for w in words]
-        self.learn({w for ws, ids in zip(words, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None})
-        return [b"".join(ids) if None not in ids else b"".join([self[w] if x is None else x for w, x in zip(ws, ids, strict=True)]) for ws, ids in zip(words, found, strict=True)]
-
-
-def cut(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        unknown = []  # text and place of each
+        for k, ids in enumerate(found):
+            if None not in ids:
+                continue
+            at = 0
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at)
+                unknown.append((k, at))
+                at += 1
+        if unknown:
+            self.learn({words[k][i] for k, i in unknown})
+            for k, i in unknown:
+                found[k][i] = self[words[k][i]]
+        return [b"".join(ids) for ids in found]
+
+
+def cut(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Tokenises every whole text, adds ``end_id`` and cuts what is longer than ``capacity`` into full pieces and a rest.
 
     Returns a row per piece: ``<id_col>, piece int`` from 0, ``start long`` (the document's ids before it), ``length long``,
     ``ids binary`` (little-endian unsigned 32-bit ids). Null or empty text: one piece of ``end_id`` alone. Null ids and repeated rows
-    stay; columns other than the two named aren't read. The tokenizer must handle words by themselves (see
+    stay; columns other than the two named aren't read. Very long texts are tokenised whole, in one task's memory. Strings of special tokens in a text
+    become these tokens, as the library has it, or ordinary text with ``special_as_text``. The tokenizer must handle words by themselves (see
     :class:`WordIds`); its file, at most 64 MB, is read on the driver and broadcast.
     """
     with open(tokenizer_path, "rb") as f:
@@ -121,8 +150,8 @@ def cut(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = zlib.crc32(sent.value)
-            words = _loaded.get(key) or _loaded.setdefault(key, WordIds(sent.value))
+            key = zlib.crc32(sent.value), special_as_text
+            words = _loaded.get(key) or _loaded.setdefault(key, WordIds(sent.value, special_as_text=special_as_text))
             for part in slices(batch, "_text", 1 << 20):
                 row, piece, start, length, ids = [], [], [], [], []
                 for i, x in enumerate(words.texts([t or "" for t in part.column("_text").to_pylist()])):
@@ -178,7 +207,7 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, length_col: str = "length",
     Returns the rows with ``sequence_id long`` and ``offset long`` (columns of these names are replaced). Offsets of a
     sequence are gapless from 0. Rows are dealt evenly, by their place and not by any value, to groups of about
     ``group_pieces``; each is packed by itself in order of falling length, so memory is bounded and no key can be hot.
-    An empty table gives an empty table; null lengths or lengths outside 1 to ``capacity`` are an error.
+    Equal lengths go by all other columns in their order, and rows equal in all are interchangeable; repeated rows are packed each. An empty table gives an empty table; null lengths or lengths outside 1 to ``capacity`` are an error.
     """
     pieces = written(pieces.drop("sequence_id", "offset"))
     groups = max(1, -(-pieces.count() // group_pieces))
