@@ -10,10 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernspark.llm.common import slices
+
 #: Bits of the filter per entry, and its largest size. Beyond that it lets more false hits through, which the join removes.
 BITS_PER_ENTRY, MOST_BYTES = 16, 8 << 20
-#: A list of at most this many entries is joined by broadcast; a longer one by a salted shuffle.
-BROADCAST_ENTRIES, SALTS = 50_000, 32
+#: A list whose texts have at most this many bytes is joined by broadcast; a longer one by a salted shuffle.
+BROADCAST_BYTES, SALTS = 8 << 20, 32
 #: The eight odd multipliers of the split-block Bloom filter in the Parquet format.
 MULTIPLIERS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,12 +73,18 @@ def bloom(keys: DataFrame, entries: int) -> BlockedBloom:
     return BlockedBloom(words)
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """The listed URLs that could fit: every parent domain with every listed length of the path's beginning."""
-    out, at = [], 0
+def candidates(host: str, path: str, lengths: list[int], longest: int) -> list[str]:
+    """The listed URLs that could fit: every parent domain of at most ``longest`` characters with every listed length of the path's beginning."""
+    out: list[str] = []
+    known = [n for n in lengths if n <= len(path)]
+    at = 0
+    if len(host) > longest:  # the first parent domain that is short enough
+        at = host.find(".", len(host) - longest - 1) + 1
+        if not at:
+            return out
     while True:
         suffix = host[at:]
-        out += [suffix + path[:n] for n in lengths if n <= len(path)]
+        out += [suffix + path[:n] for n in known]
         dot = host.find(".", at)
         if dot < 0:
             return out
@@ -94,7 +102,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     null or empty host are left out.
 
     All of a url's possible entries are looked up in a blocked Bloom filter (at most 8 MB, broadcast); those it passes go to an exact join with
-    the list, which removes false hits. Lists of over ``BROADCAST_ENTRIES`` entries are joined by a shuffle with ``SALTS`` copies of each
+    the list, which removes false hits. Parent domains longer than any listed host can't fit, so a url of any length has no more candidates than
+    the longest listed host has characters, times the lengths of listed paths. Lists of over ``BROADCAST_BYTES`` bytes are joined by a shuffle with ``SALTS`` copies of each
     entry, so that a host with very many pages is spread over as many tasks.
     """
     spark = pages.sparkSession
@@ -104,8 +113,12 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
         .groupBy(F.concat("rule_host", "rule_path").alias("key"), "rule_host", "rule_path")
         .agg(F.max("rule_verdict").alias("rule_verdict"))
     )
-    sizes = listed.groupBy(F.char_length("rule_path").alias("n")).count().collect()  # as many rows as paths have lengths
-    entries, lengths = sum(r["count"] for r in sizes), sorted(r["n"] for r in sizes)
+    sizes = (
+        listed.groupBy(F.char_length("rule_path").alias("n"))
+        .agg(F.count("*").alias("entries"), F.max(F.char_length("rule_host")).alias("longest"), F.sum(F.octet_length("key") + F.octet_length("rule_host") + F.octet_length("rule_path") + F.coalesce(F.octet_length("rule_verdict"), F.lit(0))).alias("bytes"))
+        .collect()
+    )  # as many rows as paths have lengths
+    entries, lengths, longest, listed_bytes = sum(r["entries"] for r in sizes), sorted(r["n"] for r in sizes), max([r["longest"] for r in sizes], default=0), sum(r["bytes"] for r in sizes)
     sent = spark.sparkContext.broadcast((bloom(listed.select("key"), entries), lengths))
     host, path = host_and_path(F.col(url_col).cast("string"))
     src = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())
@@ -114,19 +127,24 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom_filter, known = sent.value
         for batch in batches:
-            keys = [candidates(h, p, known) if h else [] for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            flat = [k for x in keys for k in x]
-            passed = iter(bloom_filter.has(hashes(flat)).tolist() if flat else ())
-            hits = [[k for k in x if next(passed)] for x in keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.list_(pa.string()))], [*batch.schema.names, "hits"])
+            for part in slices(batch, "path"):
+                keys = [candidates(h, p, known, longest) if h else [] for h, p in zip(part.column("host").to_pylist(), part.column("path").to_pylist(), strict=True)]
+                flat = [k for x in keys for k in x]
+                passed = iter(bloom_filter.has(hashes(flat)).tolist() if flat else ())
+                hits = [[k for k in x if next(passed)] for x in keys]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hits, pa.list_(pa.string()))], [*part.schema.names, "hits"])
 
     tested = src.mapInArrow(run, f"_id {kind}, host string, path string, _row long, hits array<string>")
     possible = tested.select("_id", "host", "path", "_row", F.explode_outer("hits").alias("key"))
-    if entries <= BROADCAST_ENTRIES:
-        matched = possible.join(F.broadcast(listed), "key", "left")
+    # Host and path are one text in a key, so the same text parted elsewhere is no fit.
+    fits = (F.col("host") == F.col("rule_host")) | F.col("host").endswith(F.concat(F.lit("."), F.col("rule_host")))
+    fits = fits & F.col("path").startswith(F.col("rule_path"))
+    if listed_bytes <= BROADCAST_BYTES:
+        matched = possible.join(F.broadcast(listed.withColumnRenamed("key", "rule")), (F.col("key") == F.col("rule")) & fits, "left")
     else:
-        salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        matched = possible.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, ["key", "_salt"], "left")
+        salted = listed.withColumnRenamed("key", "rule").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = possible.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+        matched = dealt.join(salted, (F.col("key") == F.col("rule")) & (F.col("_salt") == F.col("_copy")) & fits, "left")
     best = F.max(F.when(F.col("rule_verdict").isNotNull(), F.struct(F.char_length("key").alias("n"), F.char_length("rule_host").alias("h"), F.col("key"), F.col("rule_verdict"))))
     out = matched.groupBy("_row").agg(F.first("_id").alias("_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
     return out.select(F.col("_id").alias(id_col), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
