@@ -24,15 +24,14 @@ KINDS = ("assign", "access", "hex", "pem", "der", "jwt", "sshkey")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 #: Armoured keys, signed tokens and long base64 or hex runs: candidates only, reported if their inside parses.
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?(?:PRIVATE KEY|PUBLIC KEY))-----((?:(?:(?:\r?\n|\\r\\n|\\n)[ \t]*)+[A-Za-z][A-Za-z0-9-]*:[^\n\\]*)*)([A-Za-z0-9+/=\s\\]+)-----END \1-----", re.ASCII)
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(e[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?PRIVATE KEY)-----((?:(?:(?:\r?\n|\\r\\n|\\n)[ \t]*)+[A-Za-z][A-Za-z0-9-]*:[^\n\\]*)*)([A-Za-z0-9+/=\s\\]+)-----END \1-----", re.ASCII)
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(e[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 #: A run in either alphabet with the lines that go on after it.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 _LINE = re.compile(r"\\r\\n|\\n|[A-Za-z0-9+/_-]+")
 _LONG_HEX = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{64,}(?![0-9a-fA-F])")
 #: Encodings within encodings that are undone.
 MOST_DEPTH = 3
-_SSH = re.compile(r"AAAA[A-Za-z0-9+/]{28,}={0,2}")
 
 Span = tuple[str, int, int]
 _STANDARD = str.maketrans("-_", "+/")
@@ -78,9 +77,9 @@ def der_elements(data: bytes, a: int, b: int, depth: int = 0) -> list[tuple[int,
 
 
 def is_der_key(data: bytes, *, exact: bool = True) -> bool:
-    """Whether ``data`` is one DER sequence shaped like a key: of integers (PKCS 1), or a version and an algorithm
-    identifier (PKCS 8), an algorithm identifier and a bit string (SPKI) or, if the algorithm has a sequence of parameters, an
-    octet string (encrypted PKCS 8), a version and an octet string (SEC 1)."""
+    """Whether ``data`` is one DER sequence shaped like a private key: of integers (PKCS 1, or DSA's), a version, an algorithm
+    identifier and an octet string (PKCS 8), an algorithm identifier with a sequence of parameters and an octet string (encrypted PKCS 8), or version 1
+    and an octet string (SEC 1). Public keys are no secrets."""
     if len(data) < 24 or data[0] != 0x30 or not (x := der_length(data, 1)) or exact and x[1] != len(data):
         return False
     parts = der_elements(data, *x)
@@ -89,32 +88,31 @@ def is_der_key(data: bytes, *, exact: bool = True) -> bool:
     tags = [t for t, _, _ in parts]
     oid = lambda p: p[0] == 0x30 and p[2] - p[1] > 2 and data[p[1]] == 0x06
     if tags[0] == 0x30:
-        if len(tags) != 2 or not oid(parts[0]):
-            return False
-        return tags[1] == 0x03 or tags[1] == 0x04 and [t for t, _, _ in der_elements(data, *parts[0][1:])] == [0x06, 0x30]
+        return tags == [0x30, 0x04] and oid(parts[0]) and [t for t, _, _ in der_elements(data, *parts[0][1:])] == [0x06, 0x30]
     if tags[0] != 0x02:
         return False
     if len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
         return oid(parts[1])
     if tags[1] == 0x04:
         return data[parts[0][1] : parts[0][2]] == b"\x01"
-    return set(tags) == {0x02} and len(tags) in (2, 5, 6, 9)
+    return set(tags) == {0x02} and len(tags) in (6, 9) and data[parts[0][1] : parts[0][2]] == b"\0"
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Whether length-prefixed fields fill ``data`` and the first names a key type."""
-    fields, at = [], 0
-    while at + 4 <= len(data):
+    """Whether ``data`` is an SSH private key: the format's name, then length-prefixed cipher, derivation and its options, and a number of keys that isn't zero."""
+    magic, at = b"openssh-key-v1\0", 15
+    if not data.startswith(magic):
+        return False
+    for _ in range(3):
         n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and re.fullmatch(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+", fields[0]) is not None
+        if at + 4 > len(data):
+            return False
+    return int.from_bytes(data[at : at + 4], "big") > 0
 
 
 def is_signed_token(header: str, payload: str) -> bool:
-    """Whether two base64url parts are JSON objects and the first names an algorithm."""
+    """Whether two base64url parts are JSON objects and the first names an algorithm that signs."""
     parts = []
     for p in (header, payload):
         data = _unbase64(p, url=True)
@@ -122,7 +120,7 @@ def is_signed_token(header: str, payload: str) -> bool:
             parts.append(json.loads(data) if data else None)
         except (ValueError, RecursionError):
             return False
-    return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str)
+    return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str) and parts[0]["alg"].lower() != "none"
 
 
 def base_spans(text: str) -> list[Span]:
@@ -151,11 +149,11 @@ def _der_in(s: str, at: int) -> tuple[int, int] | None:
 
 def _decoded_spans(data: bytes, depth: int) -> list[Span]:
     """Confirmed spans, in bytes, of decoded bytes: all of them if they are a key, else those of the text that they are."""
-    if data.startswith(b"openssh-key-v1\0") or is_ssh_key(data):
+    if is_ssh_key(data):
         return [("sshkey", 0, len(data))]
     if is_der_key(data):
         return [("der", 0, len(data))]
-    if depth < MOST_DEPTH and (b"-----BEGIN " in data or b"eyJ" in data or b"AAAA" in data or data.isascii()):
+    if depth < MOST_DEPTH and (b"-----BEGIN " in data or b"eyJ" in data or data.isascii()):
         return confirmed_spans(data.decode("latin-1"), depth + 1)
     return []
 
@@ -185,8 +183,6 @@ def _base64_spans(text: str, m: re.Match, depth: int) -> list[Span]:
             s = joined[start : places[n]]
             data = _unbase64(s) if len(s) % 4 != 1 else _unbase64(s[:-1])
             for kind, a, b in _decoded_spans(data, depth) if data else ():
-                if start and kind == "sshkey" and a == 0 and b == len(data):
-                    continue  # the pattern of SSH keys finds these
                 first = bisect.bisect_right(places, start + a * 4 // 3, 0, len(lines)) - 1
                 last = bisect.bisect_right(places, min(start + -(-b * 4 // 3), places[n]) - 1, 0, len(lines)) - 1
                 span = (kind, lines[first][0], padded(lines[last][0] + len(lines[last][1])))
@@ -202,16 +198,19 @@ def confirmed_spans(text: str, depth: int = 0) -> list[Span]:
         for m in _PEM.finditer(text):
             data = _unbase64(re.sub(r"\s|\\[nr]", "", m[3]))
             locked = "ENCRYPTED" in m[2] or "DEK-Info:" in m[2]  # the inside is whole blocks of a cipher
-            if data and (is_der_key(data) or data.startswith(b"openssh-key-v1\0") or locked and len(data) >= 16 and len(data) % 8 == 0):
+            if data and (is_der_key(data) or is_ssh_key(data) or locked and len(data) >= 16 and len(data) % 8 == 0):
                 out.append(("pem", *m.span()))
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
-    if "AAAA" in text:
-        for m in _SSH.finditer(text):
-            if (data := _unbase64(m[0])) and is_ssh_key(data):
-                out.append(("sshkey", *m.span()))
+    # Spans so far, each kind ascending and apart: what lies in one of them isn't told again.
+    known = [[x for x in out if x[0] == kind] for kind in ("pem", "jwt")]
+    starts = [[x[1] for x in k] for k in known]
+
+    def inside(a: int, b: int) -> bool:
+        return any((i := bisect.bisect_right(s, a)) and b <= k[i - 1][2] for s, k in zip(starts, known, strict=True))
+
     for m in _BASE64.finditer(text):
-        out += [s for s in _base64_spans(text, m, depth) if not any(a <= s[1] and s[2] <= b for _, a, b in out)]
+        out += [s for s in _base64_spans(text, m, depth) if not inside(s[1], s[2])]
     for m in _LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (found := _decoded_spans(bytes.fromhex(m[0]), depth)):
             out.append((found[0][0], *m.span()))
@@ -233,9 +232,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """Finds secrets in every whole text: ``<id_col>, spans array<struct<kind,start,end>>`` per row.
 
     Kinds, in this order where starts are equal: assign, access, hex (base patterns, always reported), pem, der, jwt, sshkey
-    (reported only if the candidate decodes and its nested lengths, key fields or token header parse). Offsets count
+    (reported only if the candidate decodes and its nested lengths, key fields or token header parse; public keys and unsigned tokens aren't secrets). Offsets count
     code points; ends are exclusive. Null or empty text: an empty array. Null ids and repeated rows stay; other columns
-    aren't read; an empty table gives an empty table.
+    aren't read; an empty table gives an empty table. Very long texts are searched whole, in one task's memory.
     """
     src = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("_text"))
     kind = src.schema[id_col].dataType.simpleString()
@@ -268,7 +267,10 @@ def redact(text: str | None) -> str | None:
 
 
 def redacted(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The rows with the secrets of ``text_col`` replaced, see :func:`redact`; null texts stay null."""
+    """The rows with the secrets of ``text_col`` replaced, see :func:`redact`; null texts stay null, other columns go through whatever their names.
+
+    Texts come in Arrow batches, which Spark bounds by ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    """
 
     @F.pandas_udf("string")
     def cleaned(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
