@@ -48,12 +48,33 @@ def test_warc(spark, tmp_path):
 def test_warc_dictionary():
     rng = np.random.default_rng(0)
     records = [b"WARC/1.1\r\nWARC-Type: response\r\nitem: " + bytes(rng.integers(97, 105, 300, dtype=np.uint8)) for _ in range(400)]
-    data = warc.write_archive(records)
-    assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_FRAME and list(warc.read_records(data)) == records
+    data, size = warc.write_archive(records)
+    assert size > 1000 and int.from_bytes(data[:4], "little") == warc.DICTIONARY_FRAME and list(warc.read_records(data)) == records
     with pytest.raises(ValueError):
         list(warc.read_records(data[:-5]))
 
 
+def test_warc_dictionary_of_uneven_records(spark):
+    rng = np.random.default_rng(0)
+    small = [b"WARC/1.1\r\nWARC-Type: response\r\n\r\n<html><body class='page'>" + bytes(rng.integers(97, 123, 200, dtype=np.uint8)) for _ in range(3000)]
+    huge = bytes(rng.integers(0, 256, 12 << 20, dtype=np.uint8))
+    some = warc.samples([huge, *small])
+    assert sum(map(len, some)) <= warc.TRAIN_BYTES + warc.PART_BYTES and sum(len(x) for x in some if x.startswith(b"WARC")) > 0.5 * sum(map(len, small))
+    data, size = warc.write_archive([huge, *small])
+    assert b"<html><body class" in data[8 : 8 + size] and list(warc.read_records(data)) == [huge, *small]
+    assert warc.write_archive([b"a"])[1] == 0
+    long = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000), (3, "u", "x")], "page_id long, url string, html string")
+    stored = warc.archives(warc.with_revisits(long))
+    assert stored.columns == ["name", "records", "dictionary_bytes", "archive"]
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.read(stored).collect()) == [(1, 6_000_000, "response"), (2, 6_000_000, "revisit"), (3, 1, "response")]
+
+
+def test_warc_by_a_shuffle(spark, monkeypatch):
+    want = sorted(map(str, warc.with_revisits(pages(spark)).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    assert sorted(map(str, warc.with_revisits(pages(spark)).collect())) == want
+
+
 def brute_verdict(url, rules, default="allow"):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
@@ -71,11 +92,26 @@ def test_url_filter(spark, monkeypatch):
     listed = spark.createDataFrame(rules, "host string, path string, verdict string")
     want = sorted(map(repr, [(i if i % 7 else None, *brute_verdict(u, [r for r in rules if r[0]])) for i, u in enumerate(urls)]))
     assert sorted(map(repr, map(tuple, urlfilter.judge(frame, listed).collect()))) == want
-    monkeypatch.setattr(urlfilter, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", 0)
     assert sorted(map(repr, map(tuple, urlfilter.judge(frame, listed).collect()))) == want
     assert {r.verdict for r in urlfilter.judge(frame, listed.limit(0)).collect()} == {"allow"} and urlfilter.judge(frame.limit(0), listed).count() == 0
 
 
+def test_url_filter_of_long_hosts(spark, monkeypatch):
+    rules = [("x.org", "/", "block"), ("a.x.org", "", "allow"), ("y.net", "z", "block"), ("y.netz", "", "block")]
+    many = "a." * 500_000 + "x.org"
+    hosts = [many, "b" * 1_000_000 + ".x.org", "b" * 1_000_000, "." * 1_000_000, "x.org", ".x.org", "bx.org", "y.netz", "y.net", "q.y.net", "a.x.org"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/" + "p" * 100_000, "?z")]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    want = [brute_verdict(u, rules) for u in urls]
+    for most in (urlfilter.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", most)
+        got = {r.page_id: tuple(r)[1:] for r in urlfilter.judge(frame, listed).collect()}
+        assert [got[i] for i in range(len(urls))] == want
+    assert urlfilter.candidates(many, "/", [0, 1], 7) == ["a.x.org", "a.x.org/", "x.org", "x.org/", "org", "org/"] and not urlfilter.candidates("b" * 1_000_000, "/", [0, 1], 7)
+
+
 def test_bloom_filter(spark):
     keys = [f"host{i}.org/" for i in range(5000)]
     f = urlfilter.bloom(spark.createDataFrame([(k,) for k in keys], "key string"), len(keys))
@@ -169,17 +205,38 @@ def test_neighbours(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
-def test_forest_needs_no_full_scan():
+def test_the_ascent_reaches_what_it_needs():
     rng = np.random.default_rng(5)
-    v = rng.standard_normal((12_000, 48))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v = rng.standard_normal((6000, 48))
     f = lshforest.Forest(v, lshforest.planes(48), v.mean(axis=0))
-    share, hit = [], []
-    for q, rows in zip(v[:40], f.candidates(v[:40], int(lshforest.SHARE * len(v))), strict=True):
-        best = np.argsort(((v - q) ** 2).sum(axis=1))[1:11]
-        share.append(len(rows) / len(v))
-        hit.append(np.isin(best, rows).mean())
-    assert np.mean(hit) >= 0.9 and np.mean(share) < 0.75
+    q = v[:25]
+    best = [np.argsort(((v - x) ** 2).sum(axis=1))[1:11] for x in q]
+    for i, need in enumerate(f.needed(q, best)):
+        for row, share in zip(best[i].tolist(), need.tolist(), strict=True):
+            at = round(share * len(v))
+            assert row in next(f.candidates(q[i : i + 1], at + 1)) and (at == 0 or row not in next(f.candidates(q[i : i + 1], at)))
+    x = np.array([0, 1, 1 << 63, (1 << 64) - 1, 1 << 40], np.uint64)
+    assert lshforest.leading(x).tolist() == [64, 63, 0, 0, 23]
+
+
+def test_clusters_are_pruned(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((60, 32)) * 4
+    v = centres[rng.integers(0, 60, 12_000)] + rng.standard_normal((12_000, 32)) * 0.3
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 100 = 0")
+    index = lshforest.Index(df, shard=1000)
+    routed = index.routed(queries)
+    probes, share = index.fit(routed)
+    assert len(index.shards) >= 10 and probes <= 4  # of twelve ranges
+    got: dict = {}
+    for r in index.search(routed, probes, share, least=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[i] & {j for j in np.argsort(((v - v[i]) ** 2).sum(axis=1))[:11].tolist() if j != i}) for i in range(0, 12_000, 100))
+    assert hits / 1200 >= 0.9
+    f = lshforest.Forest(v, lshforest.planes(32), v.mean(axis=0))
+    compared = [len(rows) for rows in f.candidates(v[:20], int(share * 1000) + 1)]
+    assert np.mean(compared) < 0.02 * len(v)  # a query's own cluster
 
 
 def test_neighbours_edges(spark):

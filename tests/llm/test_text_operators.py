@@ -160,10 +160,11 @@ def der(tag, *parts):
 def test_confirmed_spans():
     integer = lambda n: der(2, b"\x01" * n)
     rsa = der(0x30, der(2, b"\0"), *[integer(40) for _ in range(8)])
+    sec1 = der(0x30, der(2, b"\1"), der(4, b"\x05" * 32))
     oid = der(0x30, der(6, b"\x2a\x86\x48"), der(5))
     pkcs8 = der(0x30, der(2, b"\0"), oid, der(4, rsa))
     spki = der(0x30, oid, der(3, b"\0" + b"\x07" * 60))
-    for key in (rsa, pkcs8, spki):
+    for key in (rsa, pkcs8, sec1):
         text = "é key " + base64.b64encode(key).decode() + " end"
         assert ("der", 6, 6 + len(base64.b64encode(key))) in secrets.find(text)
         assert ("der", 6, 6 + 2 * len(key)) in secrets.find("é key " + key.hex().upper() + " end")
@@ -175,8 +176,15 @@ def test_confirmed_spans():
     assert ("jwt", 3, 3 + len(token)) in secrets.find("at " + token)
     assert not [s for s in secrets.find(f"{part({'typ': 'JWT'})}.{part({'sub': '1'})}.c2ln") if s[0] == "jwt"]
     field = lambda b: len(b).to_bytes(4, "big") + b
-    ssh = base64.b64encode(field(b"ssh-ed25519") + field(b"k" * 32)).decode()
-    assert ("sshkey", 12, 12 + len(ssh)) in secrets.find("ssh-ed25519 " + ssh)
+    ssh = base64.b64encode(b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"k" * 51) + field(b"s" * 90)).decode()
+    assert ("sshkey", 4, 4 + len(ssh)) in secrets.find("key " + ssh) and not secrets.confirmed_spans(base64.b64encode(b"openssh-key-v1\0" + b"k" * 40).decode())
+    # Public keys and unsigned tokens are no secrets.
+    public = field(b"ssh-ed25519") + field(b"k" * 32)
+    for shown in (base64.b64encode(spki).decode(), spki.hex().upper(), "ssh-ed25519 " + base64.b64encode(public).decode(), base64.b64encode(der(0x30, integer(100), der(2, b"\1\0\1"))).decode()):
+        assert not secrets.confirmed_spans("key " + shown + " end")
+    assert not secrets.confirmed_spans("-----BEGIN PUBLIC KEY-----\n" + base64.encodebytes(spki).decode() + "-----END PUBLIC KEY-----")
+    for head, sign in (({"alg": "none"}, "c2ln"), ({"alg": "HS256"}, "")):
+        assert not secrets.confirmed_spans(f"{part(head)}.{part({'sub': '1'})}.{sign}")
     assert not secrets.find("M" + "A" * 60) and not secrets.find("30" + "é" * 40)
 
 
@@ -204,6 +212,62 @@ def test_encoded_keys():
         assert not secrets.confirmed_spans(plain)
 
 
+def plain_confirmed(text):
+    """Armoured keys, signed tokens and one-line base64 or hex keys, by looking at every place."""
+    out = []
+    for m in re.finditer("-----BEGIN ([A-Z ]*PRIVATE KEY)-----", text):
+        end = text.find(f"-----END {m[1]}-----", m.end())
+        if end >= 0 and "-----" not in (inside := text[m.end() : end]):
+            data = base64.b64decode("".join(x for x in inside.splitlines() if ":" not in x))
+            if secrets.is_der_key(data) or secrets.is_ssh_key(data) or ("ENCRYPTED" in m[0] + inside and len(data) % 8 == 0):
+                out.append(("pem", m.start(), end + len(f"-----END {m[1]}-----")))
+    for m in re.finditer(r"(?<![\w-])(eyJ[\w-]+)\.(e[\w-]+)\.([\w-]+)", text, re.ASCII):
+        if secrets.is_signed_token(m[1], m[2]):
+            out.append(("jwt", *m.span()))
+    apart = lambda a, b: not any(x <= a and b <= y for _, x, y in out)
+    for m in re.finditer(r"(?<![\w+/-])[A-Za-z0-9+/_-]{32,}={0,2}", text, re.ASCII):
+        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        at = 0
+        while at < len(run):
+            for end in range(len(run), at + 31, -1) if run[at] == "M" else ():
+                if (end - at) % 4 != 1 and secrets.is_der_key(base64.b64decode(run[at:end] + "=" * (-(end - at) % 4))) and apart(m.start() + at, m.start() + end):
+                    out.append(("der", m.start() + at, m.end() if end == len(run) else m.start() + end))
+                    at = end - 1
+                    break
+            at += 1
+    for m in re.finditer("(?<![0-9a-fA-F])[0-9a-fA-F]{64,}(?![0-9a-fA-F])", text):
+        if len(m[0]) % 2 == 0 and secrets.is_der_key(bytes.fromhex(m[0])):
+            out.append(("der", *m.span()))
+    return out
+
+
+def test_spans_by_brute_force(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    key = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(4, bytes(range(3, 60))))
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    planted = ["-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(key).decode() + "-----END PRIVATE KEY-----", f"{part({'alg': 'RS256'})}.{part({'sub': '1'})}.c2ln", base64.b64encode(key).decode(), "xyz/" + base64.b64encode(key).decode(), key.hex()]
+    for i, d in enumerate(sorted(docs)[:100]):  # among real texts
+        at = len(docs[d]) // 2
+        docs[d] = docs[d][:at] + " " + planted[i % len(planted)] + " " + docs[d][at:]
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    kinds = ("pem", "der", "jwt", "sshkey")
+    found = 0
+    for r in secrets.scan(table).collect():
+        got = [(s.kind, s.start, s.end) for s in r.spans]
+        want = brute_base(docs[r.doc_id]) + plain_confirmed(docs[r.doc_id])
+        assert got == sorted(want, key=lambda s: (s[1], secrets.KINDS.index(s[0]), s[2])), r.doc_id
+        found += sum(k in kinds for k, _, _ in got)
+    assert found >= 100
+
+
+def test_many_spans_and_a_very_long_text():
+    key = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(4, bytes(range(3, 60))))
+    pem = "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(key).decode() + "-----END PRIVATE KEY-----\n"
+    text = (pem + "words between\n") * 20_000
+    spans = secrets.find(text)
+    assert len([s for s in spans if s[0] == "pem"]) == 20_000 and not [s for s in spans if s[0] == "der"]
+
+
 def test_redaction():
     assert secrets.redact("a token = 'abcdefabcdefabcdef1234' z") == "a [ASSIGN]' z"
     assert secrets.redact("0123456789abcdef0") == "[HEX]" and secrets.redact("clean") == "clean" and secrets.redact(None) is None and secrets.redact("") == ""
@@ -316,7 +380,7 @@ def test_simhash_links_every_chain(spark):
 
 
 def test_anchors_cover():
-    errors, sevens = simhash.golay()
+    errors, sevens, _ = simhash.golay()
     assert len(sevens) == 253 and len(set(errors.tolist())) == 2048
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
@@ -348,3 +412,33 @@ def test_components_of_a_path(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     assert {r.root for r in components(edges).collect()} == {0} and components(edges).count() == 200
     assert components(edges.limit(0)).count() == 0
+
+
+def test_distances_by_brute_force():
+    """Out-of-place distances by lists of strings, without arrays of numbers."""
+    rng = np.random.default_rng(2)
+    words = {"x": "lorem ipsum dolor sit amet consectetur".split(), "y": "vad heter du i dag och vart ska".split(), "z": "één twee drie vier vijf zes".split()}
+
+    def ranking(texts, most):
+        often = defaultdict(int)
+        for t in texts:
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                for k in (1, 2, 3):
+                    for i in range(len(w) + 3 - k):
+                        if (g := f" {w} "[i : i + k]) != " ":
+                            often[g] += 1
+        return sorted(often, key=lambda g: (-often[g], len(g), g))[:most]
+
+    texts = {lang: [" ".join(rng.choice(w, 40)) for _ in range(10)] for lang, w in words.items()}
+    plain = {lang: ranking(t, langid.PROFILE) for lang, t in texts.items()}
+    profiles = {}
+    for lang, some in texts.items():
+        grams, n = (np.concatenate(x) for x in zip(*map(langid.counts, some), strict=True))
+        profiles[lang] = langid.profile(langid.ranked(*langid.add(grams, n), langid.PROFILE))
+    for _ in range(60):
+        text = " ".join(rng.choice(sum(words.values(), []), int(rng.integers(1, 200))))
+        doc = ranking([text], langid.DOC_PROFILE)
+        far = {lang: sum(abs(p.index(g) - i) if g in p else langid.PROFILE for i, g in enumerate(doc)) for lang, p in plain.items()}
+        best = min(sorted(far), key=far.get)
+        lang, score = langid.predict(text, profiles)
+        assert lang == best and abs(score - (1 - far[best] / (langid.PROFILE * len(doc)))) < 1e-12
