@@ -325,7 +325,7 @@ def read_code(bits: Bits, size: int) -> Code:
         first = bits.read(8 if bits.read(1) else 1)
         if not two:
             return Code(None, first)
-        lengths = np.zeros(256, np.int64)
+        lengths = np.zeros(max(256, size), np.int64)
         lengths[[first, bits.read(8)]] = 1
         return Code(lengths)
     # What follows takes at most 14 bits for each symbol; it is read from one number that is shifted on.

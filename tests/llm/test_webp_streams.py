@@ -136,6 +136,7 @@ def test_cross_colour():
 def test_lockstep_reads_as_one_by_one():
     rng = np.random.default_rng(8)
     payloads = [bytes(rng.choice(np.frombuffer(b"etaoin shrdlu,.ABC\n\xc3\xa9\xf0", np.uint8), 64 * int(n))) for n in rng.integers(1, 80, 150)]
+    payloads += [b"".join(rng.choice([b"a" * 8, b"b" * 8], 32).tolist()) for _ in range(5)]  # two symbols
     payloads += [p[:64] * 5 + p for p in payloads[:30]] + [bytes(range(256)) * 3, bytes(64), b"ab" * 320, bytes(rng.integers(0, 256, 6400, dtype=np.uint8))]
     skewed = np.minimum(rng.geometric(0.4, 64 * 300), 255).astype(np.uint8)  # codes of very different lengths
     stored = [webp.store(p) for p in [*payloads, bytes(skewed)]]
