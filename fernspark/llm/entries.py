@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernspark.llm import bpe, langid, lshforest, packing, secrets, simhash, toolcalls, urlfilter, warc, webp
+from fernspark.llm import bpe, filteraudit, langid, lshforest, packing, secrets, simhash, toolcalls, urlfilter, warc, webp
 from fernspark.llm.common import written
 from fernspark.tables import table
 
@@ -156,3 +156,34 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
     packed = packing.pack(pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32"), capacity=4096)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, by language."""
+    return filteraudit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op13_filter_audit"] = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+w AS (SELECT t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words FROM f),
+m AS (SELECT t, (CASE WHEN len(words) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END)
+      + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END)
+      + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) AS mask FROM w),
+c AS (SELECT part, mask + (CASE WHEN d.doc_id > first THEN 16 ELSE 0 END) AS mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM d JOIN f USING (t) JOIN m USING (t) LEFT JOIN l ON d.doc_id = l.doc_id GROUP BY ALL),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+      FROM x a, x b, x c, x d, x e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, list_sum(bits[1:step - 1])::BIGINT AS before FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (coalesce(before, 0) | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+             sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(before, 0) = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+             sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(before, 0) <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+             sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(before, 0) = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+             sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(before, 0) = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
