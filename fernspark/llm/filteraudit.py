@@ -21,6 +21,8 @@ from fernspark.llm.common import written
 
 #: Characters of distinct texts that a task holds before it hands them on.
 HELD = 16 << 20
+#: Bytes of text in a partition of the shuffle, about.
+ROUTED_BYTES = 128 << 20
 #: Texts longer than this many bytes are read word by word, not split at once.
 SPLIT_AT_ONCE = 8 << 20
 _UPPER, _SIGNS, _WORD = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", re.compile(rb"[#$%&*|]"), re.compile(rb"[^\x20\x09-\x0d]+")
@@ -129,13 +131,14 @@ def outcomes(docs: DataFrame, *, tests: Tests = TESTS, id_col: str = "doc_id", t
     counted in ``n``. A row with a null id is no duplicate and makes none. A null text is the empty text, a null part the empty string. An empty table
     gives an empty table; other columns aren't read.
 
-    Texts are shuffled once, as they are, and sorted by hash, so a task holds the chain of one hash at a time. A text has at most one row for each
+    A first pass adds up the texts' bytes, for the number of partitions. Texts are shuffled once, as they are, and sorted by hash, so a task holds the chain of one hash at a time. A text has at most one row for each
     task that read it, whatever its share of the table is; equal hashes of different texts are told apart by the texts.
     """
     text, part = F.coalesce(docs[text_col].cast("string"), F.lit("")), F.coalesce(docs[part_col].cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(text), text, docs[id_col].cast("long"), part).rdd
     checks, twin = list(tests.values()), 1 << len(tests)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // ROUTED_BYTES)
     routed = rows.mapPartitions(lambda it: _collapsed(it, checks, held)).repartitionAndSortWithinPartitions(parts, lambda h: h % parts)
     return docs.sparkSession.createDataFrame(routed.mapPartitions(lambda it: _decided(it, twin)), "id long, part string, mask int, n long", verifySchema=False)
 
