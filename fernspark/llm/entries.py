@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernspark.llm import bpe, filteraudit, langid, lshforest, packing, secrets, simhash, toolcalls, urlfilter, warc, webp
+from fernspark.llm import bpe, filteraudit, langid, lshforest, packing, secrets, simhash, toolcalls, urlfilter, warc, webp, whitening
 from fernspark.llm.common import written
 from fernspark.tables import table
 
@@ -187,3 +187,18 @@ r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (coalesce(befor
       FROM c, s GROUP BY part, filter_order, step, bit)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
 """
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's scores of up to 32 components, whitened by the exact covariance of all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    fit = whitening.fit(vectors, components=32)
+    if fit is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    rows = fit.transform(vectors).select("vec_id", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.lit(fit.explained).cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, "place").alias("explained"), F.lit(fit.identity_error(vectors)).cast("double").alias("identity_error"),
+    )
