@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernspark.llm import bpe, filteraudit, langid, lshforest, packing, secrets, simhash, toolcalls, urlfilter, warc, webp, whitening
+from fernspark.llm import bpe, filteraudit, langid, lshforest, minhash, packing, secrets, simhash, toolcalls, urlfilter, warc, webp, whitening
 from fernspark.llm.common import written
 from fernspark.tables import table
 
@@ -202,3 +202,9 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", (F.col("place") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", "whitened",
         F.get(explained, "place").alias("explained"), F.lit(fit.identity_error(vectors)).cast("double").alias("identity_error"),
     )
+
+
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near-duplicates by the similarity of sets of five-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
