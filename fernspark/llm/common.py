@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -75,6 +75,13 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = SLICE_BYTES, mo
         yield batch.slice(start)
 
 
+def sliced(texts: pa.Array, f: Callable[[list[str | None]], pa.Array]) -> pa.Array:
+    """``f`` of the strings of a slice of ``texts`` at a time, joined: Python objects of a slice alone are held."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    parts = [f(part.column(0).to_pylist()) for part in slices(batch, "text")]
+    return pa.concat_arrays(parts) if parts else f([])
+
+
 def signature(edges: DataFrame) -> tuple:
     """A count and an order-free hash of the rows."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernspark.llm.common import slices
+from fernspark.llm.common import sliced, slices
 
 #: N-grams in a language's profile and in a document's.
 PROFILE, DOC_PROFILE = 400, 300
@@ -98,7 +97,7 @@ def predict(text: str | None, profiles: dict[str, Profile]) -> tuple[str, float]
 def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, Profile]:
     """Each label's ``PROFILE`` most frequent n-grams with their ranks.
 
-    It learns from whole texts of about ``sample`` rows per label, those whose hashed id falls below that share of the label's
+    It learns from whole texts of about ``sample`` rows per label, those whose hashed id and text falls below that share of the label's
     rows (a bounded, reproducible sample whatever the size of the table). N-grams are counted on the executors, summed by key
     and cut to the profile there; what reaches the driver is ``PROFILE`` rows per label, at most ``MOST_LABELS`` labels.
     Rows with a null label or text are left out; an empty table gives no profile.
@@ -110,7 +109,7 @@ def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["_lang"], min(1.0, sample / r["n"]))])
-    drawn = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share[F.col("_lang")] * (1 << 30))
+    drawn = rows.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 30)) < share[F.col("_lang")] * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -160,9 +159,12 @@ def keep_identified(docs: DataFrame, profiles: dict[str, Profile], *, text_col:
     """
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("boolean")
-    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def has_language(text: str | None) -> bool:
+        return predict(text, sent.value)[0] != UNKNOWN if sent.value else bool(text) and len(counts(text)[0]) > 0
+
+    @F.arrow_udf("boolean")
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for some in texts:
-            yield some.map(lambda t: predict(t, sent.value)[0] != UNKNOWN if sent.value else bool(t) and len(counts(t)[0]) > 0).astype(bool)
+            yield sliced(some, lambda part: pa.array(list(map(has_language, part)), pa.bool_()))
 
     return docs.where(known(F.col(text_col)))

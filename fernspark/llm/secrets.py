@@ -9,12 +9,11 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernspark.llm.common import slices
+from fernspark.llm.common import sliced, slices
 
 #: The base patterns, in the order in which kinds are listed, with the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -32,6 +31,8 @@ _LINE = re.compile(r"\\r\\n|\\n|[A-Za-z0-9+/_-]+")
 _LONG_HEX = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{64,}(?![0-9a-fA-F])")
 #: Encodings within encodings that are undone.
 MOST_DEPTH = 3
+#: Elements of a key's sequence, and nested ones included, at most; keys of the known kinds have up to 9 and under 30.
+MOST_PARTS, MOST_ELEMENTS = 16, 64
 
 Span = tuple[str, int, int]
 _STANDARD = str.maketrans("-_", "+/")
@@ -62,40 +63,50 @@ def der_length(data: bytes, at: int) -> tuple[int, int] | None:
     return (at, at + n) if at + n <= len(data) else None
 
 
-def der_elements(data: bytes, a: int, b: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
-    """(tag, begin, end) of the elements that fill data[a:b] exactly, nested ones checked too; None if the lengths don't nest."""
-    out = []
+def der_elements(data: bytes, a: int, b: int, depth: int = 0, left: list[int] | None = None) -> list[tuple[int, int, int]] | None:
+    """(tag, begin, end) of the elements that fill data[a:b] exactly, nested ones checked too; None if the lengths don't nest or there are over ``MOST_PARTS``, or ``MOST_ELEMENTS`` in all."""
+    out, left = [], left or [MOST_ELEMENTS]
     while a < b:
         tag = data[a]
-        if tag & 0x1F == 0x1F or not (x := der_length(data, a + 1)) or x[1] > b:
+        left[0] -= 1
+        if left[0] < 0 or tag & 0x1F == 0x1F or not (x := der_length(data, a + 1)) or x[1] > b:
             return None
-        if tag in (0x30, 0x31) and (depth > 8 or der_elements(data, *x, depth + 1) is None):
+        if tag in (0x30, 0x31) and (depth > 8 or der_elements(data, *x, depth + 1, left) is None):
             return None
         out.append((tag, *x))
+        if len(out) > MOST_PARTS:
+            return None
         a = x[1]
     return out
 
 
-def is_der_key(data: bytes, *, exact: bool = True) -> bool:
-    """Whether ``data`` is one DER sequence shaped like a private key: of integers (PKCS 1, or DSA's), a version, an algorithm
+def der_key(data: bytes, at: int = 0) -> int | None:
+    """The end of a DER sequence at ``at`` that is shaped like a private key: of integers (PKCS 1, or DSA's), a version, an algorithm
     identifier and an octet string (PKCS 8), an algorithm identifier with a sequence of parameters and an octet string (encrypted PKCS 8), or version 1
-    and an octet string (SEC 1). Public keys are no secrets."""
-    if len(data) < 24 or data[0] != 0x30 or not (x := der_length(data, 1)) or exact and x[1] != len(data):
-        return False
+    and an octet string (SEC 1). Public keys are no secrets. Only the elements' heads are looked at, at most ``MOST_ELEMENTS``."""
+    if at >= len(data) or data[at] != 0x30 or not (x := der_length(data, at + 1)) or x[1] - at < 24 or data[x[0]] not in (0x02, 0x30):
+        return None
     parts = der_elements(data, *x)
     if not parts or len(parts) < 2:
-        return False
+        return None
     tags = [t for t, _, _ in parts]
     oid = lambda p: p[0] == 0x30 and p[2] - p[1] > 2 and data[p[1]] == 0x06
     if tags[0] == 0x30:
-        return tags == [0x30, 0x04] and oid(parts[0]) and [t for t, _, _ in der_elements(data, *parts[0][1:])] == [0x06, 0x30]
-    if tags[0] != 0x02:
-        return False
-    if len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
-        return oid(parts[1])
-    if tags[1] == 0x04:
-        return data[parts[0][1] : parts[0][2]] == b"\x01"
-    return set(tags) == {0x02} and len(tags) in (6, 9) and data[parts[0][1] : parts[0][2]] == b"\0"
+        found = tags == [0x30, 0x04] and oid(parts[0]) and [t for t, _, _ in der_elements(data, *parts[0][1:])] == [0x06, 0x30]
+    elif tags[0] != 0x02:
+        found = False
+    elif len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
+        found = oid(parts[1])
+    elif tags[1] == 0x04:
+        found = data[parts[0][1] : parts[0][2]] == b"\x01"
+    else:
+        found = set(tags) == {0x02} and len(tags) in (6, 9) and data[parts[0][1] : parts[0][2]] == b"\0"
+    return x[1] if found else None
+
+
+def is_der_key(data: bytes) -> bool:
+    """Whether all of ``data`` is a private key, see :func:`der_key`."""
+    return der_key(data) == len(data)
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -131,20 +142,26 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _der_in(s: str, at: int) -> tuple[int, int] | None:
-    """Begin and end of the next base64 of a DER key in ``s``: 0x30 makes an M, the sequence's length tells the end."""
-    while (at := s.find("M", at)) >= 0:
-        head = _unbase64(s[at : at + 8]) if at + 8 <= len(s) else None
-        if head is None:
-            return None
-        k = head[1] & 0x7F if head[1] & 0x80 else 0
-        if head[0] == 0x30 and k <= 4:
-            size = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
-            end = at + -(-size * 4 // 3)
-            if end <= len(s) and (data := _unbase64(s[at:end])) and is_der_key(data):
-                return at, end
-        at += 1
-    return None
+def _der_in(s: str) -> Iterator[tuple[int, int]]:
+    """Begin and end of each base64 of a DER key in ``s``, one after the other: 0x30 makes an M, the sequence's length tells the end.
+
+    ``s`` is decoded once from each of four places, whichever M a key begins with, and a candidate costs the heads of its elements.
+    """
+    decoded: list[bytes | None] = [None] * 4
+    at = s.find("M")
+    while at >= 0:
+        first = at % 4
+        if decoded[first] is None:
+            n = len(s) - first
+            decoded[first] = _unbase64(s[first : len(s) - (n % 4 == 1)]) or b""
+        begin = (at - first) // 4 * 3
+        end = der_key(decoded[first], begin)
+        if end is not None:
+            stop = at + -((begin - end) * 4 // 3)  # rounded up
+            yield at, stop
+            at = s.find("M", stop)
+        else:
+            at = s.find("M", at + 1)
 
 
 def _decoded_spans(data: bytes, depth: int) -> list[Span]:
@@ -158,6 +175,26 @@ def _decoded_spans(data: bytes, depth: int) -> list[Span]:
     return []
 
 
+class _Reach:
+    """How far spans reach that begin at or before a place: prefix maxima in a Fenwick tree."""
+
+    def __init__(self, n: int):
+        self.ends = [-1] * (n + 1)
+
+    def add(self, place: int, end: int) -> None:
+        place += 1
+        while place < len(self.ends):
+            self.ends[place] = max(self.ends[place], end)
+            place += place & -place
+
+    def until(self, place: int) -> int:
+        place, far = place + 1, -1
+        while place > 0:
+            far = max(far, self.ends[place])
+            place &= place - 1
+        return far
+
+
 def _base64_spans(text: str, m: re.Match, depth: int) -> list[Span]:
     """Confirmed spans of a run of base64 and the lines after it. What lies in decoded text takes whole lines."""
     lines = [(x.start() + m.start(), x[0]) for x in _LINE.finditer(m[0]) if x[0][0] != "\\"]
@@ -173,10 +210,11 @@ def _base64_spans(text: str, m: re.Match, depth: int) -> list[Span]:
     def padded(end: int) -> int:
         return m.end() if end >= m.end() - 2 and not text[end : m.end()].strip("=") else end
 
-    out, at = [], 0
-    while x := _der_in(joined, at):
-        out.append(("der", place(x[0]), padded(place(x[1] - 1) + 1)))
-        at = x[1]
+    out = [("der", place(a), padded(place(b - 1) + 1)) for a, b in _der_in(joined)]
+    begins = [a for a, _ in lines]
+    reach = _Reach(len(lines))
+    for _, a, b in out:
+        reach.add(bisect.bisect_left(begins, a), b)
     # An encoding may stop at any line's end, as the words of the next line can look like more of it, and may begin after other signs.
     for start in range(4):
         for n in sorted({len(lines), max(len(lines) - 1, 1), 1}, reverse=True):
@@ -186,8 +224,9 @@ def _base64_spans(text: str, m: re.Match, depth: int) -> list[Span]:
                 first = bisect.bisect_right(places, start + a * 4 // 3, 0, len(lines)) - 1
                 last = bisect.bisect_right(places, min(start + -(-b * 4 // 3), places[n]) - 1, 0, len(lines)) - 1
                 span = (kind, lines[first][0], padded(lines[last][0] + len(lines[last][1])))
-                if not any(p <= span[1] and span[2] <= q for _, p, q in out):
+                if reach.until(first) < span[2]:  # else it lies in a span told before
                     out.append(span)
+                    reach.add(first, span[2])
     return out
 
 
@@ -269,12 +308,12 @@ def redact(text: str | None) -> str | None:
 def redacted(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows with the secrets of ``text_col`` replaced, see :func:`redact`; null texts stay null, other columns go through whatever their names.
 
-    Texts come in Arrow batches, which Spark bounds by ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    Only the texts are sent to Python, as Arrow arrays, and are made into strings a slice at a time.
     """
 
-    @F.pandas_udf("string")
-    def cleaned(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def cleaned(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for some in texts:
-            yield some.map(redact, na_action="ignore")
+            yield sliced(some, lambda part: pa.array(list(map(redact, part)), pa.string()))
 
     return docs.withColumn(text_col, cleaned(F.col(text_col)))

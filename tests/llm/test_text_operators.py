@@ -268,6 +268,38 @@ def test_many_spans_and_a_very_long_text():
     assert len([s for s in spans if s[0] == "pem"]) == 20_000 and not [s for s in spans if s[0] == "der"]
 
 
+@pytest.mark.parametrize("unit", ["MIJ/", "MIIE", "MAAC", "MIIEA", "MIIBAgEA", "TUlK\n", "MAMC"])
+def test_work_grows_with_the_length(unit, monkeypatch):
+    """Bytes decoded and heads of elements looked at: ten times the text, ten times as many at most, but for the ends."""
+    n = {"bytes": 0, "heads": 0}
+    decode, head = base64.b64decode, secrets.der_length
+
+    def counted(s, *args, **more):
+        n["bytes"] += len(s)
+        return decode(s, *args, **more)
+
+    def looked(data, at):
+        n["heads"] += 1
+        return head(data, at)
+
+    monkeypatch.setattr(secrets.base64, "b64decode", counted)
+    monkeypatch.setattr(secrets, "der_length", looked)
+    seen = []
+    for size in (100_000, 1_000_000):
+        n.update(bytes=0, heads=0)
+        secrets.find(unit * (size // len(unit)))
+        assert n["bytes"] <= 40 * size and n["heads"] <= 40 * size
+        seen.append(dict(n))
+    assert seen[1]["bytes"] <= 10.1 * seen[0]["bytes"] + 1000 and seen[1]["heads"] <= 12 * seen[0]["heads"] + 1000
+
+
+def test_many_keys_in_one_run():
+    key = bytes([0x30, 37, 0x02, 1, 1, 0x04, 32]) + bytes(32)
+    run = base64.b64encode(key * 3000).decode()
+    spans = [s for s in secrets.find(run) if s[0] == "der"]
+    assert spans == [("der", 52 * k, 52 * k + 52) for k in range(3000)]
+
+
 def test_redaction():
     assert secrets.redact("a token = 'abcdefabcdefabcdef1234' z") == "a [ASSIGN]' z"
     assert secrets.redact("0123456789abcdef0") == "[HEX]" and secrets.redact("clean") == "clean" and secrets.redact(None) is None and secrets.redact("") == ""

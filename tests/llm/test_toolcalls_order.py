@@ -77,3 +77,20 @@ def test_very_long_arguments_and_results(spark):
 def test_contents_are_not_in_the_hash_table(spark, sf):
     plan = entries.op9_tool_calls(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("most", [toolcalls.MOST_SORTED, 0])
+def test_calls_without_a_turn(spark, monkeypatch, most):
+    monkeypatch.setattr(toolcalls.order_keys, "__defaults__", (most,))
+    calls = [
+        (1, None, 0, "a", []), (1, 2, 0, "b", ["a"]), (1, 3, 0, "c", ["b", "gone"]), (1, 4, 0, "d", []), (1, 5, 0, "e", ["d"]), (1, 6, None, "f", ["d"]),
+        (2, None, 0, "x", []), (2, 3, 0, "x", []), (2, 1, 0, "y", ["x"]),
+    ]
+    table = spark.createDataFrame([(c, t, k, i, "t", "{}", a) for c, t, k, i, a in calls], toolcalls.CALL)
+    rows = toolcalls.link(table, spark.createDataFrame([], toolcalls.RESULT), {"t": {}}).collect()
+    got = {(r.conv_id, r.call_id, r.turn): (r.order_key, r.missing_after, r.status) for r in rows}
+    p = PLACES
+    assert got == {
+        (1, "a", None): (None, 0, "pending"), (1, "b", 2): (None, 0, "pending"), (1, "c", 3): (None, 1, "pending"), (1, "d", 4): (4 * p, 0, "pending"), (1, "e", 5): (5 * p, 0, "pending"),
+        (1, "f", 6): (None, 0, "pending"), (2, "x", None): (None, 0, "duplicate"), (2, "x", 3): (3 * p, 0, "pending"), (2, "y", 1): (3 * p + 1, 0, "pending"),
+    }
