@@ -103,7 +103,7 @@ def violations(schema: dict, value: Column, place: str = "arguments") -> list[Co
 
 
 def order_keys(edges: DataFrame, calls: DataFrame, most_sorted: int = MOST_SORTED) -> DataFrame:
-    """``key, order_key long`` of ``calls`` (``key, place``): the least numbers that are at least a call's place and greater than those of all calls that it needs; null in and behind a cycle.
+    """``key, order_key long`` of ``calls`` (``key, place``): the least numbers that are at least a call's place and greater than those of all calls that it needs; null in and behind a cycle or a call without a place.
 
     ``edges``: ``key, pre`` among ``calls``, both structs of conversation and identifier. Conversations of at most ``most_sorted`` calls and needs are sorted each in a row of arrays, by passes that stop when
     nothing changes, so a chain of any form costs no job of its own; larger ones by a round of joins per call of the longest chain.
@@ -132,7 +132,7 @@ def _sorted_in_rows(edges: DataFrame, calls: DataFrame) -> DataFrame:
         keys = state["keys"]
         get = lambda n: F.get(keys, n - 1)
         ready = lambda c: F.forall(c["pres"], lambda n: get(n).isNotNull())
-        new = F.transform(calls_of, lambda c, i: F.coalesce(F.get(keys, i), F.when(ready(c), F.greatest(c["place"], F.coalesce(F.array_max(F.transform(c["pres"], get)) + 1, c["place"])))))
+        new = F.transform(calls_of, lambda c, i: F.coalesce(F.get(keys, i), F.when(c["place"].isNotNull() & ready(c), F.greatest(c["place"], F.coalesce(F.array_max(F.transform(c["pres"], get)) + 1, c["place"])))))
         left = F.size(F.filter(new, lambda k: k.isNull()))
         return F.when(state["done"], state).otherwise(F.struct(new.alias("keys"), ((left == 0) | (left == state["left"])).alias("done"), left.alias("left")))
 
@@ -144,8 +144,9 @@ def _sorted_in_rows(edges: DataFrame, calls: DataFrame) -> DataFrame:
 
 def _sorted_by_joins(edges: DataFrame, calls: DataFrame) -> DataFrame:
     """A round per call of the longest chain: calls of which every needed one has its key get theirs."""
-    done = written(calls.join(edges.select("key"), "key", "left_anti").select("key", F.col("place").alias("order_key")))
-    left = written(edges.join(calls, "key"))
+    placed = calls.where("place is not null")
+    done = written(placed.join(edges.select("key"), "key", "left_anti").select("key", F.col("place").alias("order_key")))
+    left = written(edges.join(placed, "key"))
     while True:
         known = left.join(done.select(F.col("key").alias("pre"), "order_key"), "pre", "left")
         ready = known.groupBy("key", "place").agg(F.max("order_key").alias("most"), F.count_if(F.col("order_key").isNull()).alias("open")).where("open = 0")
@@ -185,11 +186,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, extr
     ``conv_id, call_id, name, turn, result_turn, status, order_key, missing_after, valid, errors, json``.
 
     * status: ``linked`` (the first result by turn, then a digest of the content), ``early`` (that result isn't after the call), ``pending`` (no result), ``duplicate`` (an earlier call of the conversation has the
-      identifier; the first by place, then name and a digest of the arguments is the one; exact repeats of it are duplicates nowhere and link alike), ``extra`` (a result of a call that has
+      identifier; the first by place, then name and a digest of the arguments is the one, and one without a place comes last; exact repeats of it are duplicates nowhere and link alike), ``extra`` (a result of a call that has
       an earlier one), ``orphan`` (a result without a call), ``unnamed`` (a null identifier).
     * order_key: smaller for a call than for any that needs it: the least number that is at least the call's place, ``turn * 2^20 + index``, and greater than
       those of all calls that it needs. So it is the place itself unless a call needs a later one; calls in or behind a cycle have null, and so have calls
-      without a turn or an index. A duplicate or unnamed call has its own place, as it is none that others could need.
+      without a turn or an index and those that need one of them. A duplicate or unnamed call has its own place, as it is none that others could need.
       ``missing_after`` counts what this call needs that its conversation doesn't have.
     * valid, errors: arguments that aren't a JSON object, a tool without a schema and each broken keyword are named, joined by '; '; valid is their absence.
     * json: an object of arguments, id, name and result with sorted keys and no blanks, null members left out; arguments that don't parse are left out too.
@@ -202,7 +203,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, extr
         raise ValueError("too many schemas for one expression")
     calls = _keyed(calls.select(*[F.col(c.split()[0]) for c in CALL.split(", ")]).withColumn("place", F.col("turn") * PLACES + F.col("index")).withColumn("needs", F.struct("place", F.xxhash64("after").alias("after"))))
     results = _keyed(results.select(*[F.col(c.split()[0]) for c in RESULT.split(", ")]).withColumn("digest", F.md5("content")))
-    who = F.struct("place", "name", F.md5("arguments").alias("arguments"))
+    who = F.struct(F.col("place").isNull().alias("unplaced"), "place", "name", F.md5("arguments").alias("arguments"))
     ids = (
         calls.where("key is not null").select("key", who.alias("first"), F.lit(None).cast("struct<turn:bigint,digest:string>").alias("result"))
         .unionByName(results.where("key is not null").select("key", F.struct("turn", "digest").alias("result")), allowMissingColumns=True)
@@ -211,10 +212,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, extr
     contents = results.where("key is not null").groupBy("key").agg(F.min_by("content", F.struct("turn", "digest")).alias("content"))
     edges = calls.where("key is not null and size(after) > 0").select("conv_id", "key", "place", "needs", F.explode(F.array_distinct("after")).alias("pre"))
     edges = edges.withColumn("pre", F.struct("conv_id", F.col("pre").alias("call_id"))).distinct()
-    known = ids.where("first is not null").select(F.col("key").alias("pre"), F.col("first.place").alias("pre_place"))
+    known = ids.where("first is not null").select(F.col("key").alias("pre"), F.col("first.place").alias("pre_place"), F.lit(True).alias("there"))
     edges = written(edges.join(known, "pre", "left"))
-    missing = edges.where("pre_place is null").groupBy("key", "needs").agg(F.count("*").alias("missing_after"))
-    tangled = edges.where("pre_place >= place").select(F.struct("conv_id").alias("conv")).distinct()
+    missing = edges.where("there is null").groupBy("key", "needs").agg(F.count("*").alias("missing_after"))
+    tangled = edges.where("there and (pre_place is null or pre_place >= place)").select(F.struct("conv_id").alias("conv")).distinct()
 
     keyed = calls.join(ids.hint("shuffle_hash"), "key", "left").join(contents, "key", "left").join(missing, ["key", "needs"], "left")
     own = F.col("call_id").isNotNull() & who.eqNullSafe(F.col("first"))
@@ -222,7 +223,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, extr
         keyed = keyed.withColumn("order_key", F.col("place"))
     else:
         inner = written(ids.where("first is not null").select("key", F.col("first.place").alias("place")).withColumn("conv", F.struct("key.conv_id")).join(tangled, "conv", "left_semi").select("key", "place"))
-        needed = edges.where("pre_place is not null").join(ids.select("key", "first"), "key").where(F.col("place").eqNullSafe(F.col("first.place"))).select("key", "pre").distinct()
+        needed = edges.where("there").join(ids.select("key", "first"), "key").where(F.col("place").eqNullSafe(F.col("first.place"))).select("key", "pre").distinct()
         keys = order_keys(needed.join(inner.select("key"), "key", "left_semi"), inner)
         keyed = keyed.join(keys.withColumn("sorted", F.lit(True)), "key", "left").withColumn("order_key", F.when(F.col("sorted") & own, F.col("order_key")).otherwise(F.col("place")))
 
