@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernspark import schema
 from fernspark.functions import scalar
-from fernspark.operators import models, sinks
+from fernspark.operators import mergetable, models, sinks
 from fernspark.operators import nodes as N
 from fernspark.operators.indexing import IndexingPipeline
 from fernspark.plans.registry import query
@@ -393,3 +393,20 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = counted.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
     streams.drained(w.start())
     return spark.read.parquet(path).select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 26 = 5 THEN 10 ELSE greatest(doc_id % 10, CASE WHEN doc_id % 11 < 10 THEN doc_id % 11 ELSE 0 END) END::INT AS revision, lang FROM documents
+    WHERE doc_id % 13 <> 5 OR doc_id % 26 = 5"""
+)
+def merge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten upserts, of which later ones change earlier rows, a compaction, a removal and another upsert, read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    stored = mergetable.MergeTable(spark, fresh_path(spark, "merge-table"), key="doc_id")
+    for i in range(10):
+        stored.upsert(docs.where((F.col("doc_id") % 10 == i) | (F.col("doc_id") % 11 == i)).select("doc_id", F.lit(i).alias("revision"), "lang"))
+        if i == 5:
+            stored.compact()
+    stored.remove(docs.where("doc_id % 13 = 5"))
+    stored.upsert(docs.where("doc_id % 26 = 5").select("doc_id", F.lit(10).alias("revision"), "lang"))
+    return stored.read().select("doc_id", "revision", "lang")

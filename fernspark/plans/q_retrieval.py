@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernspark.functions import scalar
-from fernspark.operators import models, querying, retrieval
+from fernspark.functions import scalar, stemming
+from fernspark.operators import models, querying, retrieval, textindex, vectorindex
 from fernspark.plans.registry import query
+from fernspark.session import fresh_path
 from fernspark.tables import table
 
 #: Searches ask with every vector whose id is divisible by this, against all.
@@ -147,6 +148,53 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranked(scores, 10).select("qid", "id", "score", "rank")
 
 
+def _stems() -> str:
+    """Porter's steps in SQL: ``st (term, stem)`` of the words of ``v (term)``."""
+    some, two, one = "[^aeiouy]*[aeiouy]+[^aeiouy].*", "[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy].*", "[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]*"
+    short = "[^aeiouy][aeiouy][^aeiouywxY]$"
+    has = lambda w, p: f"regexp_matches({w}, '{p}')"
+
+    def ruled(rules: tuple[tuple[str, str], ...], stem: str) -> str:
+        cases = [f"WHEN ends_with(w, '{e}') THEN CASE WHEN {has(f'left(w, length(w) - {len(e)})', f'^(?:{stem})$')}{' AND ' + has('w', '[st]ion$') if e == 'ion' else ''} THEN left(w, length(w) - {len(e)}) || '{new}' ELSE w END" for e, new in sorted(rules, key=lambda r: -len(r[0]))]
+        return f"CASE {' '.join(cases)} ELSE w END"
+
+    doubled = "|".join(2 * c for c in "bcdfghjkmnpqrtvwx")
+    bare = "left(w, length(w) - 1)"
+    steps = [
+        "regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g')",
+        ruled(stemming.STEP_1A, ".*"),
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {has('w', f'^{some}eed$')} THEN left(w, length(w) - 1) ELSE w END WHEN {has('w', '^.*[aeiouy].*ed$')} THEN left(w, length(w) - 2) || '+' WHEN {has('w', '^.*[aeiouy].*ing$')} THEN left(w, length(w) - 3) || '+' ELSE w END",
+        f"CASE WHEN NOT ends_with(w, '+') THEN w WHEN {has(bare, '(at|bl|iz)$')} THEN {bare} || 'e' WHEN {has(bare, f'({doubled})$')} THEN left(w, length(w) - 2) WHEN {has(bare, f'^(?:{one})$')} AND {has(bare, short)} THEN {bare} || 'e' ELSE {bare} END",
+        f"CASE WHEN {has('w', '^.*[aeiouy].*[yY]$')} THEN {bare} || 'i' ELSE w END",
+        ruled(stemming.STEP_2, some),
+        ruled(stemming.STEP_3, some),
+        ruled(stemming.STEP_4, two),
+        f"CASE WHEN ends_with(w, 'e') AND ({has(bare, f'^(?:{two})$')} OR ({has(bare, f'^(?:{one})$')} AND NOT {has(bare, short)})) THEN {bare} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {has('w', f'^(?:{two})$')} THEN {bare} ELSE w END",
+        "lower(w)",
+    ]
+    made = ["s0 AS (SELECT term, term AS w FROM v)"] + [f"s{i + 1} AS (SELECT term, {step} AS w FROM s{i})" for i, step in enumerate(steps)]
+    return ", ".join(made) + f", st AS (SELECT term, CASE WHEN length(term) > 2 THEN w ELSE term END AS stem FROM s{len(steps)})"
+
+
+_WORDS = "list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z]+'), lambda x: x <> '' AND x NOT IN (" + ", ".join(f"'{w}'" for w in stemming.STOP) + "))"
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id AS id, {_WORDS} AS t FROM documents), qt AS (SELECT item_id AS qid, unnest({_WORDS}) AS term FROM benchmark), wt AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM w),
+    v AS (SELECT DISTINCT term FROM (SELECT term FROM wt UNION ALL SELECT term FROM qt)), {_stems()},
+    p AS (SELECT id, stem, count(*) AS tf, any_value(dl) AS dl FROM wt JOIN st USING (term) GROUP BY id, stem),
+    n AS (SELECT count(*)::DOUBLE AS n, sum(len(t))::DOUBLE / count(*) AS avgdl FROM w), df AS (SELECT stem, count(*) AS df FROM p GROUP BY stem), qw AS (SELECT DISTINCT qid, stem FROM qt JOIN st USING (term)),
+    bm AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN qw USING (stem) JOIN df USING (stem), n GROUP BY qid, id)
+    SELECT qid, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 10"""
+)
+def stored_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against all documents through a stored index of stems."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk"))
+    index = textindex.StoredTextIndex.build(docs, fresh_path(spark, "text-index"))
+    return index.search(_questions(spark, sf_dir), 10, digits=DIGITS)
+
+
 @query(
     f"""WITH {_BM25}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
     docs AS (SELECT d.doc_id AS id, e.v FROM documents d JOIN e ON e.vec_id = d.doc_id), q AS (SELECT vec_id AS qid, v FROM e JOIN benchmark ON item_id = vec_id),
@@ -173,21 +221,35 @@ def custom_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.custom_sql(spark, "SELECT vec_id AS id, label FROM fernspark_vectors WHERE label = :label ORDER BY vec_id LIMIT 10", label=7)
 
 
+@query()
+def stored_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector found through a stored index of half of the vectors, to which the other half is added."""
+    vectors = _vectors(spark, sf_dir)
+    first = vectorindex.VectorIndex.build(vectors.where("pmod(id, 2) = 0"), fresh_path(spark, "vector-index"))
+    first.add(vectors.where("pmod(id, 2) = 1"))
+    return vectorindex.VectorIndex.load(spark, first.path).search(_asked(spark, sf_dir), 10, digits=DIGITS)
+
+
 # --- the query pipeline -----------------------------------------------------------------------------------------------
 
 
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item as a question; a document is found by that of the first 40 which its id names modulo 40."""
+    """Every benchmark item as a question; of the documents with a vector the ten nearest to the item's own by cosine are found."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("original"))
-    found = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("qid"), F.floor(F.col("doc_id") / 40).alias("rank"), F.col("text").alias("content"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
-    return querying.retrieved(querying.as_queries(b), found)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.select(F.col("id").alias("qid"), "embedding").join(b.select("qid"), "qid")
+    near = retrieval.similarity(vectors.join(docs.select("id"), "id"), asked, retrieval.SimilaritySingleEmbedding(10), digits=DIGITS)
+    return querying.retrieved(querying.as_queries(b), near.select("qid", "rank", "id").join(docs, "id"))
 
 
-_DOCS = "d AS (SELECT doc_id % 40 AS qid, doc_id // 40 AS rank, text AS content FROM documents), q AS (SELECT item_id AS qid, text AS original FROM benchmark)"
+_DOCS = f"""e AS (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings), q AS (SELECT item_id AS qid, text AS original FROM benchmark),
+near AS (SELECT item_id AS qid, doc_id, text AS content, round({COSINE}, {DIGITS}) AS score FROM (SELECT item_id, embedding AS v FROM benchmark JOIN e ON vec_id = item_id) q, documents JOIN e ON vec_id = doc_id),
+d AS (SELECT * FROM (SELECT qid, content, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM near) WHERE rank <= 10)"""
 _PROMPT = "replace(replace('" + querying.ANSWER.replace("'", "''") + "', '{{ question }}', original), '{{ documents }}', %s)"
 
 
-@query(f"WITH {_DOCS}, j AS (SELECT qid, string_agg(content, chr(10) || '---' || chr(10) ORDER BY rank) AS docs FROM d GROUP BY qid) SELECT qid, {_PROMPT % 'docs'} AS prompt FROM q JOIN j USING (qid)")
+@query(f"WITH {_DOCS}, j AS (SELECT qid, string_agg(content, chr(10) || '---' || chr(10) ORDER BY rank) AS docs FROM d GROUP BY qid) SELECT qid, {_PROMPT % "coalesce(docs, '')"} AS prompt FROM q LEFT JOIN j USING (qid)")
 def answer_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompt of an answer from documents."""
     return _retrieved(spark, sf_dir).select("qid", querying.answer_prompt().alias("prompt"))
@@ -199,7 +261,7 @@ def answer_uses_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return querying.transformed(_retrieved(spark, sf_dir), F.lit("a summary")).select("qid", querying.answer_prompt().alias("prompt"))
 
 
-@query(f"WITH {_DOCS} SELECT qid, string_agg(content, '|' ORDER BY content) AS contents, count(*)::INT AS documents FROM d GROUP BY qid")
+@query(f"WITH {_DOCS} SELECT qid, coalesce(string_agg(content, '|' ORDER BY content), '') AS contents, count(content)::INT AS documents FROM q LEFT JOIN d USING (qid) GROUP BY qid")
 def doc_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order of their contents."""
     return querying.sorted_documents(_retrieved(spark, sf_dir)).select("qid", F.array_join(F.transform("documents", lambda d: d["content"]), "|").alias("contents"), F.size("documents").alias("documents"))
@@ -231,7 +293,7 @@ def query_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_DOCS}, t AS (SELECT d.qid, rank, content, list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS dw,
       list_distinct(list_filter(regexp_split_to_array(lower(original), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS qw FROM d JOIN q USING (qid)),
     s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY len(list_intersect(qw, dw))::DOUBLE / len(qw) DESC, rank) AS r FROM t)
-    SELECT qid, string_agg(content, '|' ORDER BY r) AS contents FROM s WHERE r <= 2 GROUP BY qid"""
+    SELECT qid, coalesce(string_agg(content, '|' ORDER BY r), '') AS contents FROM q LEFT JOIN (SELECT * FROM s WHERE r <= 2) USING (qid) GROUP BY qid"""
 )
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two documents with most of the question's words."""
@@ -239,7 +301,7 @@ def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("qid", F.array_join(F.transform("documents", lambda d: d["content"]), "|").alias("contents"))
 
 
-_DATASET = f"WITH {_DOCS}, c AS (SELECT qid, list(content ORDER BY rank) AS contexts FROM d GROUP BY qid), x AS (SELECT original AS question, arg_max(contexts, qid) AS contexts FROM q JOIN c USING (qid) GROUP BY original)"
+_DATASET = f"WITH {_DOCS}, c AS (SELECT qid, list(content ORDER BY rank) AS contexts FROM d GROUP BY qid), x AS (SELECT original AS question, arg_max(coalesce(contexts, []), qid) AS contexts FROM q LEFT JOIN c USING (qid) GROUP BY original)"
 
 
 @query(f"{_DATASET} SELECT question, 'said' AS answer, array_to_string(contexts, '|') AS contexts, '' AS ground_truth FROM x")
