@@ -318,10 +318,18 @@ def custom_sql(spark: SparkSession, sql: str, **args: Any) -> DataFrame:
 
 
 def rerank(queries: DataFrame, model: Any, k: int = DEFAULT_TOP_K, template: str | None = None) -> DataFrame:
-    """Replaces each query's ``documents`` by the ``k`` that the model scores highest against ``original``; ties keep their order."""
+    """Replaces each query's ``documents`` by the ``k`` that the model scores highest against ``original``; ties keep their order.
+
+    The model is called once for each question of an Arrow batch, with all its documents there.
+    """
+
     @F.pandas_udf("double")
     def scores(asked: pd.Series, documents: pd.Series) -> pd.Series:
-        return pd.Series([float(model.scores(q or "", [d or ""])[0]) for q, d in zip(asked, documents, strict=True)])
+        pairs = pd.DataFrame({"q": asked.fillna("").to_numpy(), "d": documents.fillna("").to_numpy()})
+        out = np.empty(len(pairs))
+        for q, rows in pairs.groupby("q", sort=False)["d"]:
+            out[rows.index] = model.scores(q, rows.tolist())
+        return pd.Series(out)
 
     rows = queries.select("qid", "original", F.posexplode("documents").alias("at", "doc"))
     shown = templates.rendered(template, F.to_json("doc")) if template else F.col("doc.content")
