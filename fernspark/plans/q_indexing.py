@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernspark import schema
 from fernspark.functions import scalar
-from fernspark.operators import mergetable, models, sinks
+from fernspark.operators import mergetable, models, nodecache, sinks
 from fernspark.operators import nodes as N
 from fernspark.operators.indexing import IndexingPipeline
 from fernspark.plans.registry import query
@@ -208,6 +208,19 @@ def cache_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(counts)], "first_run bigint, second_run bigint")
 
 
+@query(
+    NODES + """, french AS (SELECT DISTINCT id FROM nodes WHERE lang = 'fr')
+    SELECT id, 1 AS run FROM french UNION ALL SELECT DISTINCT id, 2 FROM nodes WHERE id NOT IN (SELECT id FROM french)"""
+)
+def cache_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache in hash buckets lets through in three runs: of French documents, of all, and of all once more."""
+    df = document_nodes(spark, sf_dir)
+    cache = nodecache.BucketedCache(fresh_path(spark, "buckets"), expected=max(1, df.count()), buckets=16)
+    french = F.element_at("metadata", F.lit("lang")) == "fr"
+    runs = [IndexingPipeline(d).filter_cached(cache).df.select("id", F.lit(n).alias("run")) for n, d in enumerate((df.where(french), df, df), 1)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 @query("WITH t AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE lang <> 'en' GROUP BY text) SELECT text AS id, doc_id FROM t WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en')")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of other languages that the table of English ones lacks."""
