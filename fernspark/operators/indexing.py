@@ -118,7 +118,7 @@ class IndexingPipeline:
         return replace(self, sinks=(*self.sinks, (sink, self.df)))
 
     def throttle(self, seconds: float) -> IndexingPipeline:
-        """A batch has no rate: see ``streaming.throttled`` for streams. Here it changes nothing and says so."""
+        """A batch has no rate, and a stream is limited where it starts: see ``loaders.records``. Here it changes nothing and says so."""
         warnings.warn("throttle changes nothing in a batch", stacklevel=2)
         return self
 

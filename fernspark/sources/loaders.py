@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from fernspark import schema
 from fernspark.functions import scalar
 from fernspark.operators.nodes import nodes
+from fernspark.sources.permits import Ledger, Permits
 
 
 def empty(spark: SparkSession) -> DataFrame:
@@ -144,7 +145,12 @@ def kafka(spark: SparkSession, servers: str, topic: str, **options: str) -> Data
 
 class RecordLog(DataSource):
     """A stream of records from any client with offsets: ``client`` names ``module:function``, which returns an object with
-    ``end() -> int`` and ``read(start, stop) -> iterable of (key, value)``."""
+    ``end() -> int`` and ``read(start, stop) -> iterable of (key, value)``.
+
+    With ``rows_per_second`` (and perhaps ``burst``) a micro-batch takes no more rows than a bucket of permits has. The bucket is kept in the file ``ledger``, one for each
+    checkpoint, which the driver writes before it gives out an offset; so a restart neither fills the bucket nor goes back. A ledger for a checkpoint that had no rate starts
+    where the option ``start`` says.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -166,20 +172,43 @@ class _Span(InputPartition):
 class _RecordReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.options = dict(options)
+        if "rows_per_second" in self.options and "ledger" not in self.options:
+            raise ValueError("a rate needs a ledger")
 
-    def _client(self) -> Any:
+    def _named(self, option: str) -> Any:
         import importlib
 
-        module, _, function = self.options["client"].partition(":")
-        return getattr(importlib.import_module(module), function)(self.options)
+        module, _, function = self.options[option].partition(":")
+        return getattr(importlib.import_module(module), function)
+
+    def _client(self) -> Any:
+        return self._named("client")(self.options)
+
+    def _clock(self) -> float:
+        """Seconds; ``clock`` names another function of the options, for tests."""
+        import time
+
+        return self._named("clock")(self.options) if "clock" in self.options else time.time()
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"offset": int(self.options.get("start", 0))}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {"offset": self._client().end()}
+        """All that is there or, with a rate, what the bucket admits of it."""
+        end = self._client().end()
+        if "rows_per_second" not in self.options:
+            return {"offset": end}
+        rate, burst = float(self.options["rows_per_second"]), self.options.get("burst")
+        burst, ledger, now = float(burst) if burst is not None else None, Ledger(self.options["ledger"]), self._clock()
+        kept = ledger.load()
+        permits = Permits.start(rate, burst, self.initialOffset()["offset"], now) if kept is None else kept.with_rate(rate, burst)
+        admitted = permits.admit(end, now)
+        ledger.save(permits)
+        return {"offset": admitted}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if end["offset"] < start["offset"]:
+            raise ValueError(f"the log or its ledger ends at {end['offset']}, before the checkpoint's {start['offset']}")
         size = int(self.options.get("span", 10_000))
         return [_Span(a, min(a + size, end["offset"])) for a in range(start["offset"], end["offset"], size)]
 
@@ -191,6 +220,16 @@ class _RecordReader(DataSourceStreamReader):
         pass
 
 
+def records(spark: SparkSession, client: str, *, rows_per_second: float | None = None, burst: float | None = None, ledger: str | None = None, **options: str) -> DataFrame:
+    """A :class:`RecordLog` as a stream of ``key, value, offset``, at most so many rows a second if a rate is given. A run over what is there now (``availableNow``) looks once and so takes one bucket at most."""
+    spark.dataSource.register(RecordLog)
+    given = {"rows_per_second": rows_per_second, "burst": burst, "ledger": ledger}
+    r = spark.readStream.format("record_log").option("client", client)
+    for k, v in (options | {k: str(v) for k, v in given.items() if v is not None}).items():
+        r = r.option(k, v)
+    return r.load()
+
+
 def record_nodes(df: DataFrame, prefix: str = "fluvio") -> DataFrame:
     """Records of ``key, value`` as nodes; the key is metadata, the JSON null where it lacks."""
     return nodes(df, path=F.lit(""), chunk="value", metadata=F.create_map(F.lit(f"{prefix}_key"), F.coalesce("key", F.lit("null"))))
