@@ -132,16 +132,18 @@ class IndexingPipeline:
         began = time.monotonic()
         for sink in {id(s): s for s, _ in self.sinks}.values():
             sink.setup(self.df.sparkSession)
-        df = self.df.persist() if self.sinks else self.df
+        # What each sink gets is kept, those further up too, so that steps before a sink run once and later steps go on from what was stored.
+        inputs = list({id(rows): rows for _, rows in self.sinks}.values())
+        held = [d.persist() for d in ([*inputs, self.df] if self.sinks and all(d is not self.df for d in inputs) else inputs)]
         try:
-            total, failed, message = df.agg(F.count("*"), F.count_if(F.col("error").isNotNull()), F.first("error", ignorenulls=True)).first()
+            total, failed, message = self.df.agg(F.count("*"), F.count_if(F.col("error").isNotNull()), F.first("error", ignorenulls=True)).first()
             if strict and failed:
                 raise PipelineError(message)
             stored = 0
             for sink, rows in self.sinks:
-                stored += sink.store((df if rows is self.df else rows).where("error is null"))
+                stored += sink.store(rows.where("error is null"))
         finally:
-            if self.sinks:
-                df.unpersist()
+            for d in held:
+                d.unpersist()
         self.stats.processed, self.stats.failed, self.stats.stored, self.stats.seconds = total, failed, stored, time.monotonic() - began
         return self.stats

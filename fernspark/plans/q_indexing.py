@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernspark import schema
@@ -13,7 +13,7 @@ from fernspark.operators.indexing import IndexingPipeline
 from fernspark.plans.registry import query
 from fernspark.session import fresh_path
 from fernspark.sources import loaders
-from fernspark.streaming import streams
+from fernspark.streaming import stateful, streams
 from fernspark.tables import table
 
 ID = """lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12))"""
@@ -396,6 +396,46 @@ def stream_dedup_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("user_id", "event_type")
 
 
+@query(
+    """WITH RECURSIVE k AS (
+        SELECT user_id, min(ts) AS ts FROM events WHERE ts IS NOT NULL GROUP BY user_id
+        UNION ALL
+        SELECT e.user_id, min(e.ts) FROM k JOIN events e ON e.user_id IS NOT DISTINCT FROM k.user_id AND e.ts > k.ts + INTERVAL 7 DAY GROUP BY e.user_id
+    ) SELECT user_id, ts FROM k"""
+)
+def stream_expiring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events, of which a user's is let through once more than seven days after the last one let through."""
+    path = fresh_path(spark, "expiring")
+    s = streams.files(spark, sf_dir, table(spark, sf_dir, "events").schema, glob="events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    kept = stateful.once_within(s, "user_id", "ts", 7 * 86400)
+    streams.drained(streams.stored(kept, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"), f"{path}-state"))
+    return spark.read.parquet(path).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(
+    """SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text, max(turn) AS seq, sum(strlen(text))::BIGINT AS completion_tokens,
+    string_agg(role || ':' || turn, ',' ORDER BY turn) FILTER (turn % 2 = 1) AS args FROM conversations GROUP BY conv_id"""
+)
+def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns taken as parts of a message that come in two micro-batches in no order, and its state once it is closed; odd turns bring parts of one tool call."""
+    path, w = fresh_path(spark, "parts"), Window.partitionBy("conv_id")
+    odd, n = F.col("turn") % 2 == 1, F.octet_length("text").cast("bigint")
+    none = F.lit(None)
+    parts = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").alias("seq"), F.col("text").alias("delta"), F.when(odd, 0).alias("index"), none.cast("string").alias("id"), none.cast("string").alias("name"),
+        F.when(odd, F.concat(F.when(F.col("turn") > 1, ",").otherwise(""), "role", F.lit(":"), F.col("turn").cast("string"))).alias("args"),
+        none.cast("bigint").alias("prompt_tokens"), n.alias("completion_tokens"), none.cast("bigint").alias("total_tokens"), (F.col("turn") == F.max("turn").over(w)).alias("last"),
+        F.timestamp_seconds(F.col("turn") + 1).alias("time"), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(2)).alias("file"),
+    )
+    written = f"{path}/in"
+    parts.repartition(2, "file").drop("file").write.parquet(written)
+    s = streams.files(spark, written, spark.read.parquet(written).schema, files_per_batch=1)
+    out = stateful.messages(s, wait=86400.0, late="1 day")
+    streams.drained(streams.stored(out, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/state"))
+    closed = spark.read.parquet(f"{path}/out").where("status = 'closed'")
+    return closed.select("conv_id", "text", "seq", "completion_tokens", F.col("tool_calls")[0]["args"].alias("args"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per day by a windowed stream with a watermark, the last state of each window kept."""

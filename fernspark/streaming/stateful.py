@@ -1,7 +1,7 @@
 """Operators with state by key: deduplication with an exact expiry, and messages put together from streamed parts.
 
 State lies in the stream's checkpoint; ``with_state_on_disk`` keeps the working copy on executors' disks instead of their memory. State expires by the rows' own times:
-with times of the clock a run over what is there now would never end, as Spark then always has another batch to look for expired state.
+times up to the start of 1970 are before any watermark. With times of the clock a run over what is there now would never end, as Spark then always has another batch to look for expired state.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ def once_within(df: DataFrame, key: str, time: str, seconds: float, late: str =
     Rows of a micro-batch count in the order of their times, then of all their columns. The rows let through are those of a pass over all rows in the order of their times, if no row of a
     key comes in a later micro-batch than one with a greater time. Where it does, it is let through unless it is within ``seconds`` of a row let through, before or after,
     that is still remembered. A key is forgotten when the watermark (the greatest time seen, less ``late``) is over ``seconds`` past its row, so state grows with the keys of that span. Rows before the
-    watermark are dropped, rows without a time too; a null key is a key.
+    watermark are dropped, rows without a time too; a null key is a key. A key's rows of one micro-batch are in one task's memory, so the source should bound a micro-batch.
     """
-    span = int(seconds * 1000)
+    span = int(seconds * 1_000_000)
     columns = df.columns
     shape = df.schema
     at = "_at"
@@ -49,7 +49,7 @@ def once_within(df: DataFrame, key: str, time: str, seconds: float, late: str =
             state.remove()
             return
         rows = pd.concat(list(batches), ignore_index=True)
-        rows = rows[rows[at] >= mark]  # a mark of 0: no watermark yet
+        rows = rows[rows[at] >= mark * 1000]  # a mark of 0: no watermark yet
         order = rows[columns].astype(str).agg("\x00".join, axis=1)
         rows = rows.assign(_order=order).sort_values([at, "_order"], kind="stable")
         last = state.get[0] if state.exists else None
@@ -61,10 +61,10 @@ def once_within(df: DataFrame, key: str, time: str, seconds: float, late: str =
         if kept:
             state.update((int(last),))
         if state.exists:
-            state.setTimeoutTimestamp(max(state.get[0] + span + 1, mark + 1))
+            state.setTimeoutTimestamp(max((state.get[0] + span) // 1000 + 1, mark + 1))
         yield rows.iloc[kept][columns]
 
-    timed = df.where(F.col(time).isNotNull()).withColumn(at, F.unix_millis(F.col(time).cast("timestamp"))).withWatermark(time, late)
+    timed = df.where(F.col(time).isNotNull()).withColumn(at, F.unix_micros(F.col(time).cast("timestamp"))).withWatermark(time, late)
     return timed.groupBy(key).applyInPandasWithState(step, shape, StructType([StructField("last", LongType())]), "append", GroupStateTimeout.EventTimeTimeout)
 
 

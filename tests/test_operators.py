@@ -78,6 +78,19 @@ def test_too_few_vectors_leave_none(spark):
     assert nodes.embed(models.HashEmbedder())(loaders.empty(spark)).count() == 0
 
 
+def test_steps_before_a_sink_run_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def shout(text):
+        calls.add(1)
+        return text.upper()
+
+    one, two = sinks.MemorySink(), sinks.MemorySink()
+    p = indexing.IndexingPipeline(few(spark, ("a", "one"), ("b", "two"))).then(nodes.mapped(shout)).then_store_with(one).filter("path = 'a'").then_store_with(two)
+    assert p.run().stored == 3 and calls.value == 2
+    assert sorted(r["chunk"] for r in one.rows.values()) == ["ONE", "TWO"] and [r["chunk"] for r in two.rows.values()] == ["ONE"]
+
+
 def test_embed_modes(spark):
     df = few(spark, ("a", "x")).withColumn("metadata", F.create_map(F.lit("m"), F.lit("y")))
     for mode, keys in ((schema.SINGLE, {"Combined"}), (schema.PER_FIELD, {"Chunk", "Metadata: m"}), (schema.BOTH, {"Combined", "Chunk", "Metadata: m"})):
