@@ -57,6 +57,11 @@ class BucketedCache:
     def _announce(self, spark: SparkSession, generation: int, about: tuple[str, int, int]) -> None:
         spark.createDataFrame([(generation, about[1], about[2])], "generation int, buckets int, blocks long").coalesce(1).write.mode("append").parquet(f"{self.path}/about")
 
+    def _first(self, spark: SparkSession) -> tuple[str, int, int]:
+        about = self._start(1, self.buckets, self.expected)
+        self._announce(spark, 1, about)
+        return about
+
     @staticmethod
     def _name(folder: str, kind: str) -> str:
         return f"fernspark_cache_{hashlib.sha256(folder.encode()).hexdigest()[:24]}_{kind}"
@@ -131,10 +136,7 @@ class BucketedCache:
     def set(self, df: DataFrame) -> None:
         """Marks nodes; those marked already are left."""
         spark = df.sparkSession
-        about = self._about(spark)
-        if about is None:
-            about = self._start(1, self.buckets, self.expected)
-            self._announce(spark, 1, about)
+        about = self._about(spark) or self._first(spark)
         new = df.select(self._key().alias("_key"), "path").where("_key is not null").groupBy("_key").agg(F.min("path").alias("path"))
         rows = _written(self._absent(new))
         self._add(rows, about)
@@ -153,10 +155,13 @@ class BucketedCache:
         What is returned is a written table in the shared folder, so a lost executor can't make it again from a cache that has changed. A node counts
         as cached from now on, also if a later step fails; to run it again, clear the cache.
         """
-        good = df.where("error is null and id is not null")
-        kept = self.absent(sinks.first_wins(good)).unionByName(df.where("error is not null or id is null")).select(df.columns)
-        kept = _written(kept)
-        self.set(kept.where("error is null and id is not null"))
+        spark = df.sparkSession
+        is_good = "error is null and id is not null"
+        # Ids alone are looked up. Whole rows are shuffled once, by id, or not at all where few ids are new and Spark broadcasts them.
+        new = _written(self.absent(df.where(is_good).select("id").distinct()))
+        good = sinks.first_wins(df.where(is_good).join(new, "id", "left_semi"))
+        kept = _written(good.unionByName(df.where(f"not ({is_good})")).select(df.columns))
+        self._add(kept.where(is_good).select(self._key().alias("_key"), "path"), self._about(spark) or self._first(spark))
         return kept
 
     def rebuild(self, spark: SparkSession, expected: int | None = None, buckets: int | None = None) -> None:
