@@ -12,7 +12,7 @@ from fernspark.operators import nodes as N
 from fernspark.operators.indexing import IndexingPipeline
 from fernspark.plans.registry import query
 from fernspark.session import fresh_path
-from fernspark.sources import loaders
+from fernspark.sources import frontier, loaders
 from fernspark.streaming import stateful, streams
 from fernspark.tables import table
 
@@ -72,6 +72,22 @@ def record_shaped_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.record_nodes(e).select("chunk", F.element_at("metadata", F.lit("fluvio_key")).alias("fluvio_key"))
 
 
+@query(
+    """WITH RECURSIVE p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*')) AS origin, url, html FROM pages),
+    c AS (SELECT page_id, origin, html, origin || CASE WHEN rest[1] = '/' THEN rest ELSE '/' || rest END AS url FROM (SELECT *, regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '#.*$', '') AS rest FROM p)),
+    edges AS (SELECT DISTINCT url, origin || regexp_replace(l, '#.*$', '') AS link FROM (SELECT url, origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS l FROM c)
+        UNION SELECT a.url, b.url FROM c a JOIN c b ON b.page_id <> 0 AND a.page_id = (b.page_id - 1) // 3 UNION SELECT b.url, a.url FROM c a JOIN c b ON b.page_id <> 0 AND a.page_id = (b.page_id - 1) // 3),
+    r AS (SELECT url, 0 AS depth FROM c WHERE page_id % 100 = 0 UNION SELECT e.link, r.depth + 1 FROM r JOIN edges e ON e.url = r.url WHERE r.depth < 16)
+    SELECT url, regexp_extract(url, '://([^/?#]*)', 1) AS host, min(depth)::INT AS depth, url IN (SELECT url FROM c) AS known FROM r GROUP BY url"""
+)
+def page_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that links lead to from every hundredth page, with its depth. Few pages link to each other, so a second capture of each leads to three more, and back."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    parent = F.when(F.col("page_id") != 0, F.floor((F.col("page_id") - 1) / 3))
+    captures = p.select("url", "html").unionByName(frontier.linked(p, parent))
+    return frontier.depths(captures, p.where("page_id % 100 = 0"))
+
+
 @query("SELECT page_id, 'remote' AS kind FROM pages UNION ALL SELECT -1 - page_id, 'local' FROM pages")
 def url_host_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, and the same path on this machine."""
