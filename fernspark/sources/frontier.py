@@ -22,6 +22,8 @@ PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
 HIDDEN = r"(?is)<!--(?:.*?-->|.*)|<(script|style)\b[^<>]*>(?:.*?</\1\s*>|.*)"
 #: The target of a link, with its quotes.
 LINK = r"""(?i)<a(?=[\s/])[^<>]*?[\s"'/]href\s*=\s*("[^"]*"|'[^']*'|[^\s<>"']+)"""
+#: Pages for which a stored table's walk takes another bucket, and the least number of buckets.
+BUCKET_PAGES, LEAST_BUCKETS = 131_072, 8
 #: Into how many parts a host's URLs go while they are numbered.
 SALTS = 64
 
@@ -110,26 +112,25 @@ def _allowed(urls: DataFrame, only: Column | None) -> DataFrame:
 
 
 def _next(found: DataFrame, seen: _Bucketed, depth: int, only: Column | None) -> DataFrame:
-    """What is new among ``link``, written."""
+    """The ``url`` of what is new among ``link``, after it was written to what was found. Each file has one depth, so a later round reads of the others their footers only."""
     new = _allowed(found.select(F.col("link").alias("url")).distinct(), only).join(seen.read().select("url"), "url", "left_anti")
-    path = fresh_path(seen.spark, "frontier-round")
-    new.select("url", F.lit(depth).alias("depth")).write.parquet(path)
-    return seen.spark.read.schema("url string, depth int").parquet(path)
+    seen.add(new.select("url", F.lit(depth).alias("depth")))
+    return seen.read().where(F.col("depth") == depth).select("url")
 
 
-def depths(pages: DataFrame, seeds: DataFrame, *, url: str = "url", html: str = "html", most: int | None = None, only: Column | None = None, buckets: int = 64) -> DataFrame:
+def depths(pages: DataFrame, seeds: DataFrame, *, url: str = "url", html: str = "html", most: int | None = None, only: Column | None = None, buckets: int | None = None) -> DataFrame:
     """``url, host, depth, known`` of all that links lead to from the seeds' ``url``: how many links away it is at least (seeds: 0), and whether it is one of the pages.
 
     ``most``: the greatest depth; ``only``: a condition on ``url`` and ``host`` that links must meet to be followed. Several pages of one URL are captures of it, whose links count together.
-    There are as many rounds as the greatest depth. URLs that aren't http, or null, lead nowhere; without seeds there are no rows. Other columns of either table aren't read.
+    There are as many rounds as the greatest depth. ``buckets``: by default they grow with the number of pages. URLs that aren't http, or null, lead nowhere; without seeds there are no rows. Other columns of either table aren't read.
     """
+    buckets = buckets or max(LEAST_BUCKETS, -(-pages.count() // BUCKET_PAGES))
     edges = _Bucketed(links(pages, url, html), buckets, "frontier_links")
     seen = _Bucketed(_started(seeds, url, only), buckets, "frontier_seen")
     last, depth = seen.read(), 0
     while (most is None or depth < most) and not last.isEmpty():
         depth += 1
         last = _next(edges.read().join(last.select("url"), "url", "left_semi"), seen, depth, only)
-        seen.add(last)
     edges.delete()
     known = pages.select(canonical(url).alias("url")).where("url is not null").distinct().withColumn("_known", F.lit(True))
     return seen.files().join(known, "url", "left").select("url", host_of("url").alias("host"), "depth", F.coalesce("_known", F.lit(False)).alias("known"))
@@ -186,7 +187,6 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, url: str
         pages = spark.read.schema(fields).parquet(f"{kept}/depth={depth}/*")
         depth += 1
         last = _next(links(pages), seen, depth, only)
-        seen.add(last)
     seen.delete()
     if not sinks.exists(spark, kept):
         return spark.createDataFrame([], "url string, host string, depth int, html string")
