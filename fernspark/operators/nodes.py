@@ -19,15 +19,15 @@ Stage = Callable[[DataFrame], DataFrame]
 SPARSE = "struct<indices:array<int>,values:array<float>>"
 
 
-def nodes(df: DataFrame, *, path: str | Column, chunk: str | Column, metadata: Column | None = None, error: Column | None = None, size: Column | None = None) -> DataFrame:
-    """Rows as nodes: ``original_size`` is the chunk's length in bytes, ``offset`` 0, the id follows from path and chunk."""
+def nodes(df: DataFrame, *, path: str | Column, chunk: str | Column, metadata: Column | None = None, error: Column | None = None, size: Column | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Rows as nodes: ``original_size`` is the chunk's length in bytes, ``offset`` 0, the id follows from path and chunk. Columns named by ``beside`` stay."""
     text = scalar.col(chunk)
     return df.select(
         scalar.node_id(path, chunk).alias("id"), scalar.col(path).cast("string").alias("path"), text.alias("chunk"),
         (metadata if metadata is not None else F.create_map().cast("map<string,string>")).alias("metadata"),
         F.lit(None).cast("map<string,array<float>>").alias("vectors"), F.lit(None).cast(f"map<string,{SPARSE}>").alias("sparse_vectors"),
         F.lit(schema.SINGLE).alias("embed_mode"), (size if size is not None else F.octet_length(text)).cast("bigint").alias("original_size"),
-        F.lit(0).cast("bigint").alias("offset"), (error if error is not None else F.lit(None)).cast("string").alias("error"),
+        F.lit(0).cast("bigint").alias("offset"), (error if error is not None else F.lit(None)).cast("string").alias("error"), *beside,
     )
 
 

@@ -85,6 +85,7 @@ class ParquetSink:
 
     ``vectors`` maps embedded fields to their lengths, and only these are stored; ``metadata`` names keys that become columns
     (``meta_<name>``). ``missing``: what a row without a configured vector or key is: ``error``, ``empty`` or ``null``.
+    ``order`` names columns of the rows to store, not stored themselves, by which the first of several new rows of an id is the one that stays; without it that is the first by all columns but maps.
 
     Rows lie in ``parts`` folders by a hash of their id, a number that a table keeps from its first write. An upsert rewrites only the folders that its rows touch, from a copy written
     beside the table; a reader always finds a table, and a run that fails midway is mended by running it again, as writes are by id.
@@ -97,6 +98,7 @@ class ParquetSink:
     metadata: tuple[str, ...] = ()
     missing: str = "null"
     parts: int = 64
+    order: tuple[str, ...] = ()
 
     def with_vector(self, name: str = schema.COMBINED, size: int | None = None) -> ParquetSink:
         self.vectors[name] = size
@@ -151,27 +153,35 @@ class ParquetSink:
         if table is None:  # Spark doesn't read names that begin with an underscore as data
             spark.createDataFrame([(self.parts,)], "parts int").coalesce(1).write.mode("ignore").parquet(f"{self.path}/_parts")
         parts = spark.read.parquet(f"{self.path}/_parts").first()[0]
+        if self.order and self.mode != "append":  # metadata is a map, by which rows can't be ordered
+            df = first_wins(df, "id", tuple(F.col(c) for c in self.order))
         new = self.shaped(df)
         new = new.withColumn(PART, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
         if self.mode == "append":
             return self._write(new, "append", parts)
         if self.mode == "insert":
-            return self._write(insert_if_absent(table, new), "append", parts)
+            return self._write(self._absent(table, new), "append", parts)
         aside = f"{self.path}.new-{uuid.uuid4().hex}"
-        rows = first_wins(new)
+        rows = new if self.order else first_wins(new)
         if table is None:
             return self._write(rows, "append", parts)
         try:
             rows.write.parquet(f"{aside}/rows")
             rows = spark.read.schema(rows.schema).parquet(f"{aside}/rows")
             touched = [r[0] for r in rows.select(PART).distinct().collect()]  # at most ``parts``
-            upsert(table.where(F.col(PART).isin(touched)), rows).repartition(max(1, min(len(touched), parts)), PART).write.partitionBy(PART).parquet(f"{aside}/table")
+            old = table.where(F.col(PART).isin(touched)).join(rows.select("id"), "id", "left_anti")
+            old.unionByName(rows, allowMissingColumns=True).repartition(max(1, min(len(touched), parts)), PART).write.partitionBy(PART).parquet(f"{aside}/table")
             if touched:
                 spark.read.parquet(f"{aside}/table").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
             return rows.count()
         finally:
             delete(spark, aside)
 
+    def _absent(self, table: DataFrame | None, new: DataFrame) -> DataFrame:
+        if not self.order:
+            return insert_if_absent(table, new)
+        return new if table is None else new.join(table.select("id"), "id", "left_anti")
+
     def _write(self, df: DataFrame, mode: str, parts: int) -> int:
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n")).repartition(parts, PART).write.mode(mode).partitionBy(PART).parquet(self.path)

@@ -29,11 +29,11 @@ nodes AS (SELECT *, {ID} AS id FROM n)
 """
 
 
-def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as nodes with lang, source and n_chars as metadata."""
+def document_nodes(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
+    """Documents as nodes with lang, source and n_chars as metadata; ``keyed``: with doc_id beside."""
     docs = table(spark, sf_dir, "documents")
     about = F.create_map(F.lit("lang"), F.col("lang"), F.lit("n_chars"), F.col("n_chars").cast("string"), F.lit("source"), F.col("source"))
-    return N.nodes(docs, path="source", chunk="text", metadata=about)
+    return N.nodes(docs, path="source", chunk="text", metadata=about, beside=("doc_id",) if keyed else ())
 
 
 def keyed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,10 +264,10 @@ def key_value_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(NODES + "SELECT DISTINCT id, lang AS meta_lang, NULL::VARCHAR AS meta_title FROM nodes WHERE doc_id IN (SELECT min(doc_id) FROM nodes GROUP BY id)")
 def sink_metadata_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configured metadata as columns; a key that lacks is null."""
-    sink = sinks.ParquetSink(fresh_path(spark, "table"), mode="upsert").with_metadata("lang", "title")
+    """Configured metadata as columns; a key that lacks is null. Of documents with one id the first has its say."""
+    sink = sinks.ParquetSink(fresh_path(spark, "table"), mode="upsert", order=("doc_id",)).with_metadata("lang", "title")
     sink.setup(spark)
-    sink.store(document_nodes(spark, sf_dir))
+    sink.store(document_nodes(spark, sf_dir, keyed=True))
     return sink.read(spark).select("id", "meta_lang", "meta_title")
 
 

@@ -172,3 +172,16 @@ def test_scratch_needs_a_shared_folder():
         session.scratch_dir(Fake())
     Context.master = "local[4]"
     assert session.scratch_dir(Fake()).startswith("file:")
+
+
+def test_sink_keeps_the_first_of_an_id(spark, tmp_path):
+    import duckdb
+
+    from fernspark.plans import registry
+
+    rows = [(i, f"text {i % 40}", "abcdefg"[(i * 5 + i // 40) % 7], "s", 7) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").orderBy(F.desc("doc_id")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["sink_metadata_columns"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted((r.id, r.meta_lang) for r in got) == sorted(r[:2] for r in con.execute(registry.SQL["sink_metadata_columns"]).fetchall()) and len(got) == 40
