@@ -11,11 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernspark.functions import stemming
+from fernspark.operators import nearest
 from fernspark.operators.retrieval import BROADCAST_TERMS, DEFAULT_TOP_K, K1, B, ranked, words
 
 #: Postings of a block.
@@ -25,6 +28,10 @@ FIRST_LOOK = 128
 #: Scores are sums in any order: what is within this of the bound is read.
 ROUNDING = 1e-9
 
+#: Postings that a task sorts.
+POSTINGS = 1 << 20
+
+COUNTED = "row long, id long, dl int, term string, tf long"
 BLOCKS = "term string, block int, top double, ids array<long>, rows array<long>, impacts array<double>"
 
 
@@ -33,6 +40,29 @@ def content_words(text: str | Column) -> Column:
     return F.filter(words(text), lambda w: ~w.isin(*stemming.STOP))
 
 
+def _parts(spark: SparkSession, postings: int) -> int:
+    """Partitions of so many postings: with more of them there are more tasks, not larger ones."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // POSTINGS))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], stems: pa.Table | None) -> Iterator[pa.RecordBatch]:
+    """Rows ``id, w, row`` as ``COUNTED``: each row's words, or their stems, with their counts."""
+    stem = None if stems is None else dict(zip(stems.column("term").to_pylist(), stems.column("stem").to_pylist(), strict=True))
+    for b in nearest.slices(batches, 512):
+        size = pc.list_value_length(b.column("w")).to_numpy(zero_copy_only=False)
+        words_of = b.column("w").flatten().dictionary_encode()
+        names, code = words_of.dictionary, words_of.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if stem is not None:
+            again = pa.array([stem[t] for t in names.to_pylist()], pa.string()).dictionary_encode()
+            names, code = again.dictionary, again.indices.to_numpy(zero_copy_only=False)[code].astype(np.int64)
+        if not len(code):
+            continue
+        pairs, tf = np.unique(np.repeat(np.arange(len(size)), size) * len(names) + code, return_counts=True)
+        row, term = pairs // len(names), pairs % len(names)
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("id").take(at), pa.array(size[row], pa.int32()), names.take(pa.array(term)), pa.array(tf, pa.int64())], ["row", "id", "dl", "term", "tf"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows ``term, id, row, impact`` in the order of terms and falling impact, as blocks. A block ends where the term or the partition does."""
     rest: pa.Table | None = None
@@ -92,26 +122,29 @@ class StoredTextIndex:
     def build(corpus: DataFrame, path: str, *, key: str = "id", text: str = "chunk", split: Callable[[str | Column], Column] = content_words, stems: bool = True, block: int = BLOCK) -> StoredTextIndex:
         """Writes the index of ``corpus`` (a long ``key`` and a text) to ``path``. A null text has no words; rows that repeat a key are found each by itself.
 
-        Texts are split once, into a table of counted words, and only distinct words are stemmed; the blocks are cut from postings sorted by range of term, impact and key, so a
-        frequent word is many partitions and tasks.
+        Only distinct words are stemmed; words are counted by row into a table, without a shuffle while the stems fit a task. The blocks are cut from postings sorted by range of term,
+        impact and key, ``POSTINGS`` to a task, so a frequent word is many partitions and tasks.
         """
         spark = corpus.sparkSession
         split_once = corpus.select(F.col(key).cast("long").alias("id"), split(F.coalesce(F.col(text), F.lit(""))).alias("w"), F.monotonically_increasing_id().alias("row"))
-        counted = split_once.select("row", "id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("row", "id", "dl", "term").agg(F.count("*").alias("tf"))
-        counted.write.parquet(f"{path}/counted")
-        rows = spark.read.parquet(f"{path}/counted")
+        known, few = None, True
         if stems:
-            stemming.with_stems(rows.select("term").distinct()).write.parquet(f"{path}/stems")
-            known = spark.read.parquet(f"{path}/stems")
+            stemming.with_stems(split_once.select(F.explode("w").alias("term")).distinct()).write.parquet(f"{path}/stems")
+            known = spark.read.parquet(f"{path}/stems").select("term", "stem")
             few = known.count() <= BROADCAST_TERMS
-            stemmed = rows.join(F.broadcast(known) if few else known, "term").groupBy("row", "id", "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-            stemmed.write.parquet(f"{path}/stemmed")
-            rows = spark.read.parquet(f"{path}/stemmed")
-        n, total = corpus.count(), rows.agg(F.sum("tf")).first()[0] or 0
+        if few:  # a row's words are counted where the row is
+            table = known.toArrow() if stems else None
+            counted = split_once.mapInArrow(lambda it: _counted(it, table), COUNTED)
+        else:
+            counted = split_once.select("row", "id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(known, "term").groupBy("row", "id", "dl", F.col("stem").alias("term")).agg(F.count("*").alias("tf"))
+        counted.write.parquet(f"{path}/counted")
+        rows = spark.read.parquet(f"{path}/counted")
+        total, size = rows.agg(F.sum("tf"), F.count("*")).first()
+        n, total = corpus.count(), total or 0
         average = total / n if n and total else 1.0
         impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
         postings = rows.select("term", "id", "row", impact.cast("double").alias("impact"))
-        ordered = postings.repartitionByRange("term", F.desc("impact"), "row").sortWithinPartitions("term", F.desc("impact"), "row")
+        ordered = postings.repartitionByRange(_parts(spark, size), "term", F.desc("impact"), "row").sortWithinPartitions("term", F.desc("impact"), "row")
         ordered.mapInArrow(lambda it: _blocks(it, block), BLOCKS).write.parquet(f"{path}/blocks")
         stored = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
         stored.groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.max("top").alias("top")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
@@ -138,6 +171,46 @@ class StoredTextIndex:
         each = blocks.select("qid", "weight", F.explode(F.arrays_zip("ids", "rows", "impacts")).alias("p"))
         return each.groupBy("qid", F.col("p.ids").alias("id"), F.col("p.rows").alias("row")).agg(F.sum(F.col("weight") * F.col("p.impacts")).alias("score"))
 
+    def _by_row(self, asked: DataFrame, k: int, slack: float) -> DataFrame:
+        """``qid, id, score``: candidates for the best ``k`` of few queries. A posting that one of them needs is dealt once, by its row, and a task scores whole rows against all queries."""
+        spark = asked.sparkSession
+        first = self._scored(self.blocks.join(F.broadcast(asked), "term").where(F.col("block") < -(-max(FIRST_LOOK, 8 * k) // self.block)))
+        least = first.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("r") == k).select("qid", F.col("score").alias("least"))
+        floor = F.min(F.coalesce("least", F.lit(float("-inf"))) - F.col("others"))  # a block whose head is below it is below every query's bound
+        floors = spark.createDataFrame(asked.join(least, "qid", "left").groupBy("term").agg(F.first("weight").alias("weight"), floor.alias("floor")).toArrow())
+        read = self.blocks.join(F.broadcast(floors), "term").where(F.col("weight") * F.col("top") + slack + ROUNDING >= F.col("floor"))
+        size = self.terms.join(F.broadcast(floors), "term", "left_semi").agg(F.sum("df")).first()[0] or 0
+        each = read.select("term", F.explode(F.arrays_zip("ids", "rows", "impacts")).alias("p")).select(F.col("p.rows").alias("row"), F.col("p.ids").alias("id"), "term", F.col("p.impacts").alias("impact"))
+        table = asked.select("qid", "term", "weight").toArrow()
+        qids, of = np.unique(table.column("qid").to_numpy(), return_inverse=True)
+        terms = pc.unique(table.column("term"))
+        terms = terms.take(pc.sort_indices(terms))
+        lists = nearest.Postings(of, pc.index_in(nearest.joined(table.column("term")), value_set=terms).to_numpy(), table.column("weight").to_numpy(), len(qids), len(terms))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, rest = nearest.Best(k, slack, len(qids)), None
+
+            def put(t: pa.Table) -> None:
+                row, place = t.column("row").to_numpy(), pc.index_in(nearest.joined(t.column("term")), value_set=terms).to_numpy()
+                at = np.lexsort((place, row))
+                lists.add(np.searchsorted(row, row)[at], place[at], t.column("impact").to_numpy()[at], nearest.joined(t.column("id")), best)
+
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                rest = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+                if not rest.num_rows:
+                    continue
+                row = rest.column("row").to_numpy()
+                whole = int(np.searchsorted(row, row[-1]))  # the last row may go on
+                if whole:
+                    put(rest.slice(0, whole))
+                    rest = rest.slice(whole)
+            if rest is not None and rest.num_rows:
+                put(rest)
+            yield best.table(pa.array(qids, pa.int64()), pa.int64(), False)
+
+        return each.repartition(_parts(spark, size), "row").sortWithinPartitions("row").mapInArrow(run, "qid bigint, id bigint, score double")
+
     def _matched(self, queries: DataFrame, text: str) -> DataFrame:
         """Blocks of the queries' words, each with ``qid, weight, others``. Words are broadcast after a count, up to ``BROADCAST_TERMS``."""
         asked = self._asked(queries, text).persist()
@@ -158,7 +231,10 @@ class StoredTextIndex:
 
         A query without any word of the index has no rows. Queries with a null or an empty text have no words.
         """
-        found = self._scored(self.needed(queries, k, text=text, slack=10.0**-digits if digits is not None else 0.0).where("read"))
+        slack = 10.0**-digits if digits is not None else 0.0
+        asked = self._asked(queries, text).withColumn("qid", F.col("qid").cast("bigint")).persist()
+        few = asked.count() <= BROADCAST_TERMS
+        found = self._by_row(asked, k, slack) if few else self._scored(self.needed(queries, k, text=text, slack=slack).where("read"))
         if digits is not None:
             found = found.withColumn("score", F.round("score", digits))
         return ranked(found, k).select("qid", F.col("id").alias(key), "score", "rank")

@@ -202,3 +202,66 @@ def test_all_ways_of_searching_give_the_expressions_scores(spark, monkeypatch, m
         # Many queries cost neither pairs in the plan nor a shuffle of each row for a thousand of them.
         assert handful or "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
     assert found[0] == found[1] == found[2] and len(found[0]) == 5 * asked.where("embedding is not null").count()
+
+
+def test_best_rows_by_text_are_cut_in_the_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [a + b for a in "bcdfgh" for b in ("an", "el", "or")]
+    docs = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(200)] + [(900, None), (901, "")]
+    docs += [(300 + i, docs[7][1]) for i in range(40)]
+    df = spark.createDataFrame(docs, "id long, chunk string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(rng.choice(words, 5))) for q in range(15)] + [(15, docs[7][1]), (16, "nothing"), (17, None)], "qid long, current string")
+    index, some = retrieval.TextIndex.of(df), df.where("id % 3 = 0").select("id")
+    for among in (None, some):
+        every = index.scores(asked) if among is None else index.scores(asked).join(some, "id", "left_semi")
+        want = retrieval.ranked(every.withColumn("score", F.round("score", 6)), 6)
+        found = index.best(asked, 6, digits=6, among=among)
+        assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()  # pairs of queries and rows aren't grouped
+        assert sorted((r.qid, r["rank"], r.id, r.score) for r in found.collect()) == sorted((r.qid, r["rank"], r.id, r.score) for r in want.collect())
+
+
+def test_sparse_products_are_cut_in_the_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vector = lambda: (lambda i: (i.tolist(), rng.integers(-3, 4, len(i)).astype(float).tolist()))(np.sort(rng.choice(1 << 30, 5) % 40 * (1 << 24)))
+    rows = [(i, vector()) for i in range(300)]
+    rows += [(1000 - i, rows[4][1]) for i in range(50)] + [(2000, None), (2001, ([], []))]
+    docs = spark.createDataFrame(rows, "id long, sparse struct<indices:array<int>,values:array<float>>").repartition(3)
+    asked = docs.where("id % 7 = 0 or id >= 1000").withColumnRenamed("id", "qid")
+    found = retrieval.sparse_similarity(docs, asked, 6)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    few = sorted((r.qid, r["rank"], r.id, r.score) for r in found.collect())
+    monkeypatch.setattr(retrieval, "QUERY_TERMS", 0)
+    assert few == sorted((r.qid, r["rank"], r.id, r.score) for r in retrieval.sparse_similarity(docs, asked, 6).collect()) and few
+
+
+def test_a_search_of_the_stored_index_groups_no_pairs(spark, tmp_path, monkeypatch):
+    from fernspark.operators import textindex
+
+    monkeypatch.setattr(textindex, "POSTINGS", 20)
+    docs = [(i, f"cats {'sat ' * (i % 5)}on mats {i % 7 * 'running '}") for i in range(120)]
+    df = spark.createDataFrame(docs, "id long, chunk string")
+    index = textindex.StoredTextIndex.build(df, str(tmp_path))
+    assert len([p for p in os.listdir(tmp_path / "blocks") if p.endswith(".parquet")]) > 8  # more postings, more tasks
+    asked = spark.createDataFrame([(1, "cat mat"), (2, "runs sat"), (3, "cat run")], "qid long, current string")
+    found = index.search(asked, 5, digits=6)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    few = sorted((r.qid, r["rank"], r.id, r.score) for r in found.collect())
+    monkeypatch.setattr(textindex, "BROADCAST_TERMS", 0)
+    assert few == sorted((r.qid, r["rank"], r.id, r.score) for r in index.search(asked, 5, digits=6).collect()) and few
+    other = textindex.StoredTextIndex.build(df, str(tmp_path / "other"))
+    assert sorted(map(tuple, other.terms.collect())) == sorted(map(tuple, index.terms.collect()))
+
+
+def test_python_holds_few_rows_of_a_batch(spark):
+    seen = []
+
+    class Model:
+        def embed(self, texts):
+            return [[float(len(texts))] for _ in texts]
+
+    df = N.nodes(spark.range(1000).coalesce(1).select(F.col("id").cast("string").alias("t")), path="t", chunk="t")
+    made = N.embed(Model(), 100)(df).select(F.element_at("vectors", F.lit("Combined"))[0].alias("n")).collect()
+    assert {r.n for r in made} == {100.0} and len(made) == 1000
+    parts = list(N.parts_of(iter([__import__("pyarrow").array(range(150))])))
+    assert [len(p) for p in parts] == [64, 64, 22] and not seen
+    assert sorted(int(r.chunk) for r in N.mapped(lambda t: str(int(t) + 1))(df).collect()) == list(range(1, 1001))
