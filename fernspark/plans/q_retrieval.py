@@ -144,8 +144,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BM25} SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM bm) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk"))
-    scores = retrieval.TextIndex.of(docs).scores(_questions(spark, sf_dir)).withColumn("score", F.round("score", DIGITS))
-    return retrieval.ranked(scores, 10).select("qid", "id", "score", "rank")
+    return retrieval.TextIndex.of(docs).best(_questions(spark, sf_dir), 10, digits=DIGITS)
 
 
 def _stems() -> str:
@@ -207,9 +206,10 @@ def stored_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_convex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and vector scores of documents with a vector, each over its largest, weighted; idf and lengths are those of these documents' table."""
     e = table(spark, sf_dir, "embeddings")
-    docs = table(spark, sf_dir, "documents").join(e, F.col("doc_id") == F.col("vec_id"), "left").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk"), "embedding")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk"))
+    docs = texts.join(e.select(F.col("vec_id").alias("id"), "embedding"), "id")
     asked = _questions(spark, sf_dir).join(e.select(F.col("vec_id").alias("qid"), "embedding"), "qid")
-    index = retrieval.TextIndex.of(docs)
+    index = retrieval.TextIndex.of(texts)
     found = retrieval.hybrid_convex(docs.where("embedding is not null"), asked, retrieval.HybridSearch(10, 200), index=index)
     return found.select("qid", "id", F.round("score", DIGITS).alias("score"), "rank")
 
