@@ -7,6 +7,7 @@ from itertools import accumulate
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from fernspark.functions import html, scalar, splitters, templates
 Stage = Callable[[DataFrame], DataFrame]
 
 SPARSE = "struct<indices:array<int>,values:array<float>>"
+#: A text's vector in Arrow.
+ARROW = {"array<float>": pa.list_(pa.list_(pa.float32())), SPARSE: pa.list_(pa.struct([("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))]))}
 
 
 def nodes(df: DataFrame, *, path: str | Column, chunk: str | Column, metadata: Column | None = None, error: Column | None = None, size: Column | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
@@ -36,19 +39,30 @@ def with_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("id", scalar.node_id("path", "chunk"))
 
 
+#: Rows of an Arrow batch that are Python objects at once; the batch itself may have thousands of long texts.
+ROWS = 64
+
+
+def parts_of(batches: Iterator[pa.Array], rows: int = ROWS) -> Iterator[pa.Array]:
+    for x in batches:
+        for i in range(0, len(x), rows):
+            yield x.slice(i, rows)
+
+
 def mapped(f: Callable[[str], str | None], column: str = "chunk") -> Stage:
     """Applies a Python function to a text column in Arrow batches; what it raises becomes the row's error."""
 
     def stage(df: DataFrame) -> DataFrame:
-        @F.pandas_udf("struct<value:string,error:string>")
-        def run(x: pd.Series) -> pd.DataFrame:
-            out = []
-            for t in x:
-                try:
-                    out.append((None if t is None else f(t), None))
-                except Exception as e:  # noqa: BLE001  any failure is the row's
-                    out.append((t, f"{type(e).__name__}: {e}"))
-            return pd.DataFrame(out, columns=["value", "error"])
+        @F.arrow_udf("struct<value:string,error:string>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for x in parts_of(batches):
+                out = []
+                for t in x.to_pylist():
+                    try:
+                        out.append((None if t is None else f(t), None))
+                    except Exception as e:  # noqa: BLE001  any failure is the row's
+                        out.append((t, f"{type(e).__name__}: {e}"))
+                yield pa.StructArray.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in (0, 1)], ["value", "error"])
 
         done = df.withColumn("_done", F.when(F.col("error").isNull(), run(F.col(column))))
         return done.withColumn(column, F.when(F.col("error").isNull(), F.col("_done.value")).otherwise(F.col(column))).withColumn("error", F.coalesce("error", "_done.error")).drop("_done")
@@ -64,16 +78,18 @@ def html_to_markdown(df: DataFrame) -> DataFrame:
 def _exploded(df: DataFrame, split: Callable[[str, str | None], list[str]], *, offsets: bool = False) -> DataFrame:
     """A node per chunk; size, metadata and the rest are the parent's. Rows with an error pass as they are; a failure to split is an error row."""
 
-    @F.pandas_udf("struct<parts:array<string>,starts:array<bigint>,error:string>")
-    def run(texts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, p in zip(texts, paths, strict=True):
-            try:
-                parts = split(t, p) if t else []
-                out.append((parts, list(accumulate((len(x.encode()) for x in parts[:-1]), initial=0)) if offsets else [], None))
-            except Exception as e:  # noqa: BLE001
-                out.append(([], [], f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["parts", "starts", "error"])
+    @F.arrow_udf("struct<parts:array<string>,starts:array<bigint>,error:string>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, paths in ((t.slice(i, ROWS), p.slice(i, ROWS)) for t, p in batches for i in range(0, len(t), ROWS)):
+            out = []
+            for t, p in zip(texts.to_pylist(), paths.to_pylist(), strict=True):
+                try:
+                    parts = split(t, p) if t else []
+                    out.append((parts, list(accumulate((len(x.encode()) for x in parts[:-1]), initial=0)) if offsets else [], None))
+                except Exception as e:  # noqa: BLE001
+                    out.append(([], [], f"{type(e).__name__}: {e}"))
+            kinds = pa.list_(pa.string()), pa.list_(pa.int64()), pa.string()
+            yield pa.StructArray.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["parts", "starts", "error"])
 
     cols = df.columns
     done = df.withColumn("_done", F.when(F.col("error").isNull(), run("chunk", "path")))
@@ -190,20 +206,15 @@ def compress_outline(model: Any, template: str | None = None) -> Stage:
 
 
 def _embedded(df: DataFrame, into: str, kind: str, call: Callable[[list[str]], list], batch_size: int) -> DataFrame:
-    @F.pandas_udf(f"array<{kind}>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in batches:
-            out = []
-            for i in range(0, len(column), batch_size):
-                rows = [[] if x is None else list(x) for x in column.iloc[i : i + batch_size]]
-                texts = [t or "" for r in rows for t in r]
-                made = call(texts) if texts else []
-                if len(made) != len(texts):  # a model that gives too few leaves the rows without vectors
-                    out += [None] * len(rows)
-                    continue
-                at = iter(made)
-                out += [[next(at) for _ in r] for r in rows]
-            yield pd.Series(out)
+    @F.arrow_udf(f"array<{kind}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in parts_of(batches, batch_size):
+            rows = [[] if r is None else r for r in x.to_pylist()]
+            texts = [t or "" for r in rows for t in r]
+            made = call(texts) if texts else []
+            at = iter(made)
+            # a model that gives too few leaves the rows without vectors
+            yield pa.array([[next(at) for _ in r] for r in rows] if len(made) == len(texts) else [None] * len(rows), ARROW[kind])
 
     pairs = scalar.embeddables("chunk", "metadata", F.col("embed_mode"))
     made = df.withColumn("_pairs", F.when(F.col("error").isNull(), pairs)).withColumn("_vectors", run(F.transform("_pairs", lambda p: p["text"])))
