@@ -10,19 +10,22 @@ import pyarrow.compute as pc
 
 #: Queries and rows of a tile of distances, and what a tile of sparse products holds at most.
 ASKS, ROWS, PRODUCTS = 256, 4096, 1 << 21
-#: Values of vectors that are compared or scored at once.
-VALUES = 1 << 22
+#: Values of vectors that a task holds, and that are compared or scored at once.
+VALUES, TILE = 1 << 22, 1 << 18
 #: Candidates that are held before those that can't be among the best go.
-HELD = 1 << 20
+HELD = 1 << 18
 
 
 class Best:
-    """The best ``k`` per query of what is added, smallest ``sign`` first, ties by id, and what lies within ``slack`` of the last of them; of equal ones the ``k`` smallest ids."""
+    """The best ``k`` per query of what is added, smallest ``sign`` first, ties by id, and what lies within ``slack`` of the last of them; of equal ones the ``k`` smallest ids.
+
+    ``slack`` is the unit to which scores are rounded later, or 0; what is then equal beyond doubt counts as equal.
+    """
 
     def __init__(self, k: int, slack: float, queries: int) -> None:
         self.k, self.slack, self.edge = k, slack, np.full(queries, np.inf)
         self.parts: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]] = []
-        self.n, self.limit = 0, HELD
+        self.n, self.kept, self.limit = 0, 0, HELD
 
     def add(self, q: np.ndarray, ids: pa.Array, sign: np.ndarray, score: np.ndarray) -> None:
         if len(q):
@@ -36,6 +39,7 @@ class Best:
         if not self.parts:
             return
         q, sign, score = (np.concatenate([p[i] for p in self.parts]) for i in (0, 2, 3))
+        sign = self._rounded(sign)
         ids = pa.concat_arrays([p[1] for p in self.parts])
         at = np.lexsort((pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy(), sign, q))
         q, sign = q[at], sign[at]
@@ -50,7 +54,21 @@ class Best:
         keep = (here - begin[group] < self.k) | ((sign <= last[group] + self.slack) & (here - np.flatnonzero(tied)[np.cumsum(tied) - 1] < self.k))
         at = at[keep]
         self.parts = [(q[keep], ids.take(pa.array(at)), sign[keep], score[at])]
-        self.n = len(at)
+        self.n = self.kept = len(at)
+
+    def _rounded(self, sign: np.ndarray) -> np.ndarray:
+        if not self.slack:
+            return sign
+        with np.errstate(all="ignore"):
+            at = sign / self.slack
+            whole = np.floor(at + 0.5)
+            sure = (np.abs(at - whole) < 0.499999) & (np.abs(at) < 1e9)
+        return np.where(sure, whole * self.slack, sign)
+
+    def tighten(self) -> None:
+        """Brings the edges near to what was added, at a cost in proportion to that."""
+        if self.n >= 2 * self.kept:
+            self.cut()
 
     def table(self, qids: pa.Array, kind: pa.DataType, nan_is_null: bool) -> pa.RecordBatch:
         self.cut()
@@ -121,43 +139,40 @@ def _first_copies(m: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
     return at[np.arange(len(m)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k]
 
 
-def _candidates(m: np.ndarray, q: np.ndarray, k: int, metric: str, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) among which are each query's best ``k`` and those within ``slack``: by products of matrices, with a bound of their rounding."""
-    one, size = np.ones, m.shape[1]
-    mm, qq = (m * m).sum(1), (q * q).sum(1)
+def _left(m: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
+    """The rows' side of a product of matrices, and their greatest square."""
+    mm = (m * m).sum(1)
     if metric == "l2":
-        left, right = np.hstack([m, mm[:, None], one((len(m), 1))]), np.hstack([-2 * q, one((len(q), 1)), qq[:, None]])
-        err = (size + 8) * 2.0**-50 * (mm.max() + qq)
+        return np.hstack([m, mm[:, None], np.ones((len(m), 1))]), mm.max()
+    return m if metric == "dot" else m / np.sqrt(mm)[:, None], mm.max()
+
+
+def _candidates(left: np.ndarray, most: float, q: np.ndarray, k: int, metric: str, slack: float, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) among which are each query's best ``k`` and those within ``slack``, but for what is beyond ``edge``: by a product of matrices, with a bound of its rounding."""
+    size, qq = q.shape[1], (q * q).sum(1)
+    if metric == "l2":
+        right, err = np.hstack([-2 * q, np.ones((len(q), 1)), qq[:, None]]), (size + 8) * 2.0**-50 * (most + qq)
     elif metric == "dot":
-        left, right, err = m, -q, (size + 8) * 2.0**-50 * np.sqrt(mm.max() * qq)
+        right, err = -q, (size + 8) * 2.0**-50 * np.sqrt(most * qq)
     else:
-        left, right, err = m / np.sqrt(mm)[:, None], -q / np.sqrt(qq)[:, None], np.full(len(q), (size + 8) * 2.0**-50)
+        right, err = -q / np.sqrt(qq)[:, None], np.full(len(q), (size + 8) * 2.0**-50)
 
-    def bound(kth: np.ndarray) -> np.ndarray:
+    def bound(kth: np.ndarray, err: np.ndarray) -> np.ndarray:
         if metric != "l2":
             return kth + 2 * err + slack * (1 + 1e-9)
         return (np.sqrt(np.maximum(kth + err, 0)) + slack * (1 + 1e-9)) ** 2 * (1 + 1e-12) + err
 
-    edge = np.full(len(q), np.inf)
-    a, b, r = [], [], []
-    for i in range(0, len(m), ROWS):
-        near = right @ left[i : i + ROWS].T
-        if i == 0 and near.shape[1] >= k:
-            edge = bound(np.partition(near, k - 1, axis=1)[:, k - 1])
-        x, y = np.nonzero(near <= edge[:, None])
-        a.append(x)
-        b.append(y + i)
-        r.append(near[x, y])
-    x, y, near = np.concatenate(a), np.concatenate(b), np.concatenate(r)
-    at = np.lexsort((near, x))
-    x, y, near = x[at], y[at], near[at]
-    counts = np.bincount(x, minlength=len(q))
-    start = np.cumsum(counts) - counts
-    full = counts >= k
-    edge = np.full(len(q), np.inf)
-    edge[full] = bound(near[start + k - 1 if full.all() else np.where(full, start + k - 1, 0)])[full]
-    keep = near <= edge[x]
-    return x[keep], y[keep]
+    with np.errstate(over="ignore"):
+        limit = bound(edge**2 if metric == "l2" else edge - 1 if metric == "cosine_distance" else edge, err)
+    near = right @ left.T
+    hit = near <= limit[:, None]
+    many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 2 * k)
+    if len(many):
+        some = near[many]
+        kth = np.partition(some, k - 1, axis=1)[:, k - 1]
+        hit[many] &= some <= bound(kth, err[many])[:, None]
+    at = np.flatnonzero(hit)
+    return at // len(left), at % len(left)
 
 
 def nearest(docs: Lengths, asks: Lengths, ids: pa.Array, k: int, metric: str, larger: bool, best: Best) -> None:
@@ -174,13 +189,18 @@ def nearest(docs: Lengths, asks: Lengths, ids: pa.Array, k: int, metric: str, la
         rows, m = docs.get(size, (np.empty(0, np.int64), np.empty((0, size))))
         usual, calm = _plain(m, metric), np.flatnonzero(_plain(q, metric))
         near, odd = np.flatnonzero(usual), np.flatnonzero(~usual)
-        near = near[_first_copies(m[near], order[rows[near]], k)]
-        for i in range(0, len(calm), ASKS) if len(near) else ():
-            part = calm[i : i + ASKS]
-            x, y = _candidates(m[near], q[part], k, metric, best.slack)
-            for j in range(0, len(x), step := max(1, VALUES // max(1, size))):
-                a, b = near[y[j : j + step]], part[x[j : j + step]]
-                put(places[b], rows[a], _pairs(m[a], q[b], metric))
+        near = near[_first_copies(m[near] if len(odd) else m, order[rows[near]], k)]
+        step = max(256, TILE // max(1, size))
+        for t in range(0, len(near), min(ROWS, step)):
+            at = near[t : t + min(ROWS, step)]
+            left, most = _left(m[at], metric)
+            for i in range(0, len(calm), ASKS):
+                part = calm[i : i + ASKS]
+                x, y = _candidates(left, most, q[part], k, metric, best.slack, best.edge[places[part]])
+                for j in range(0, len(x), step):
+                    a, b = at[y[j : j + step]], part[x[j : j + step]]
+                    put(places[b], rows[a], _pairs(m[a], q[b], metric))
+            best.tighten()
         strange = np.setdiff1d(np.arange(len(q)), calm)
         for some, of in ((calm, odd), (strange, np.arange(len(m)))):
             for i in some if len(of) else ():
@@ -234,3 +254,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of rows with vectors ``v``, of about a tile's values each."""
+    for b in slices(batches, ROWS):
+        values = pc.sum(pc.list_value_length(b.column("v"))).as_py() or 0
+        yield from slices(iter([b]), max(256, TILE * b.num_rows // max(1, values)))

@@ -3,14 +3,16 @@
 import json
 import os
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fernspark import session
 from fernspark.functions import code, scalar
-from fernspark.operators import agent, models, retrieval, sinks
+from fernspark.operators import agent, models, nearest, retrieval, sinks
 from fernspark.operators import nodes as N
 from fernspark.plans import q_indexing, tasks
 from fernspark.tables import table
@@ -265,3 +267,45 @@ def test_python_holds_few_rows_of_a_batch(spark):
     parts = list(N.parts_of(iter([__import__("pyarrow").array(range(150))])))
     assert [len(p) for p in parts] == [64, 64, 22] and not seen
     assert sorted(int(r.chunk) for r in N.mapped(lambda t: str(int(t) + 1))(df).collect()) == list(range(1, 1001))
+
+
+def searched(m, q, k, metric, larger, slack):
+    """What a task keeps, and its peak of memory in MB."""
+    best, every = nearest.Best(k, slack, len(q)), np.arange
+    tracemalloc.start()
+    nearest.nearest({m.shape[1]: (every(len(m)), m)}, {q.shape[1]: (every(len(q)), q)}, pa.array(every(len(m))), k, metric, larger, best)
+    found = best.table(pa.array(every(len(q))), pa.int64(), True)
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    return found, peak
+
+
+def test_a_searchs_memory_is_the_same_in_any_order_of_rows():
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(32_768, 16)) * np.linspace(3, 0.1, 32_768)[:, None]  # nearer ones later
+    q = rng.normal(size=(256, 16)) / 100
+    found, peak = searched(m, q, 10, "l2", False, 0.0)
+    assert peak < 80
+    want = np.argsort(np.sqrt(((m[None] - q[:8, None]) ** 2).sum(2)), axis=1)[:, :10]
+    got = found.to_pandas().sort_values(["qid", "score"])
+    assert len(got) == 2560 and got[got.qid < 8].id.tolist() == want.ravel().tolist()
+
+
+@pytest.mark.parametrize("metric", sorted(retrieval.METRICS))
+def test_scores_that_rounding_makes_equal_arent_all_kept(spark, monkeypatch, metric):
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=8)
+    m = one + rng.normal(size=(3000, 8)) * 1e-9
+    found, _ = searched(m, m[:200], 10, metric, metric in ("cosine", "dot"), 1e-6)
+    assert 2000 <= found.num_rows <= 3 * 2000
+    # Near copies with scores on both sides of where rounding changes, in all ways of searching.
+    rows = [(int(i), (one + rng.normal(size=8) * 10.0 ** -rng.integers(1, 9)).tolist()) for i in rng.permutation(400)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(2)
+    asked = docs.where("id % 16 = 0").withColumnRenamed("id", "qid")
+    for digits in (2, 6):
+        got = []
+        for handful, few in ((1000, 1000), (0, 1000), (0, 0)):
+            monkeypatch.setattr(retrieval, "HANDFUL", handful)
+            df = retrieval.similarity(docs, asked, retrieval.SimilaritySingleEmbedding(5, None, metric), digits=digits, broadcast_queries=few)
+            got.append(sorted((r.qid, r["rank"], r.id, repr(r.score)) for r in df.collect()))
+        assert got[0] == got[1] == got[2] and len(got[0]) == 5 * 25
